@@ -48,13 +48,11 @@ def row_key(*cols: str):
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words of each text: offsets (n + 1), the code of each word, and the distinct words that the codes number.
 
-    lower folds A-Z only. Splitting, folding and numbering run in Arrow, not in Python.
+    lower folds A-Z only, and then words that differ in case have codes of their own but equal words. Splitting, folding and numbering run in Arrow, not in Python.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
     flat = lists.flatten()
     starts = lists.offsets.to_numpy().astype(np.int64)
@@ -66,7 +64,8 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarr
     coded = flat.dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
-    return starts, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    words = pc.ascii_lower(coded.dictionary) if lower else coded.dictionary
+    return starts, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), words
 
 
 def hashes_of(words: pa.Array, seed: int = 0) -> np.ndarray:
@@ -127,5 +126,6 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
     while at < batch.num_rows:
         base = size[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(size, base + limit, side="right")))
-        yield batch.slice(at, to - at)
+        # Copied: some Arrow kernels misread arrays that begin at an offset.
+        yield batch if to - at == batch.num_rows else batch.take(pa.array(np.arange(at, to)))
         at = to

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("chat_format", "bpe", "token_files", "warc", "quality")
+MODULES = ("chat_format", "bpe", "token_files", "warc", "quality", "langid", "decontaminate")
 
 
 def _gather(name: str) -> dict:
