@@ -31,7 +31,7 @@ from .common import slices, table
 LONG, LEAF = 8192, 4096
 #: First window, in characters to each side of a join, and tokens that must agree in a row on each side.
 WINDOW, AGREE = 64, 4
-#: Pieces that a worker remembers; beyond, it forgets all and starts again.
+#: Pieces of each of two generations that a worker remembers; when the young one is full, it becomes the old one.
 REMEMBER = 500_000
 
 _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n])|(?<=[A-Za-z])(?=[.,])")
@@ -56,7 +56,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, list[int]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -66,19 +67,32 @@ class Encoder:
         return cls._open[path]
 
     # -- pieces -----------------------------------------------------------------------------------------------------
-    def ids_of(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece; pieces that are not remembered are encoded in one call."""
-        known = self.known
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if len(known) + len(new) > REMEMBER:
-            known.clear()
-            new = list(dict.fromkeys(pieces))
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, as unsigned 32-bit integers; pieces that are not remembered are encoded in one call."""
+        young, old = self.young, self.old
+        found: dict[str, bytes] = {}
+        new = []
+        for p in dict.fromkeys(pieces):
+            ids = young.get(p)
+            if ids is None:
+                ids = old.get(p)
+                if ids is not None and len(p) <= 64:
+                    young[p] = ids
+            if ids is None:
+                new.append(p)
+            else:
+                found[p] = ids
         short = [p for p in new if len(p) <= LONG]
-        fresh = dict(zip(short, (e.ids for e in self.tokenizer.encode_batch_fast(short, add_special_tokens=False)), strict=True))
-        fresh |= {p: self.tree(p) for p in new if len(p) > LONG}
-        out = [known[p] if p in known else fresh[p] for p in pieces]
-        known.update((p, ids) for p, ids in fresh.items() if len(p) <= 64)
-        return out
+        for at in range(0, len(short), 20_000):
+            part = short[at : at + 20_000]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                found[p] = ids = np.array(e.ids, np.uint32).tobytes()
+                if len(p) <= 64:
+                    young[p] = ids
+        found |= {p: np.array(self.tree(p), np.uint32).tobytes() for p in new if len(p) > LONG}
+        if len(young) > REMEMBER:
+            self.young, self.old = {}, young
+        return [found[p] for p in pieces]
 
     def cut(self, text: str) -> list[str]:
         """The pieces of a text, one string at a time."""
@@ -116,8 +130,8 @@ class Encoder:
         # Distinct pieces are cut further, and what remains is encoded once.
         parts = [[p] if "\x00" in p else self.cut(p) for p in pieces]
         ids = self.ids_of(list(chain.from_iterable(parts)))
-        tokens = np.fromiter(chain.from_iterable(ids), np.uint32)
-        part_ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))))
+        tokens = np.frombuffer(b"".join(ids), np.uint32)
+        part_ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))))) // 4
         ends = part_ends[np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))))]
         length = np.diff(ends)[code]
         to = np.concatenate(([0], np.cumsum(length)))

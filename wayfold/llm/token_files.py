@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from .common import shared_dir, slices, table, written
 
 MAGIC = b"WFVB\x01"
 HEAD = "<4Q"
-#: Bytes of encoded ids that a block is made from, about.
-BLOCK = 4 << 20
+#: Bytes of compressed ids that a block is made from, about.
+BLOCK = 2 << 20
 #: Bytes of the four values that a control byte describes.
 SIZES = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], np.int64)
 
@@ -65,12 +66,27 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def squeeze(ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The ids of each text as one compressed cell, in 16-bit integers where they fit: what is shuffled and kept meanwhile."""
+    zip_ = zstandard.ZstdCompressor(3)
+    wide = len(ids) > 0 and int(ids.max()) > 0xFFFF
+    raw, size = memoryview(ids.astype("<u4" if wide else "<u2").tobytes()), 4 if wide else 2
+    return [(b"\x04" if wide else b"\x02") + zip_.compress(raw[size * a : size * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def expand(cells: list[bytes]) -> np.ndarray:
+    """The ids of all cells, one after the other."""
+    unzip = zstandard.ZstdDecompressor()
+    parts = [np.frombuffer(unzip.decompress(memoryview(c)[1:]), "<u4" if c[0] == 4 else "<u2") for c in cells]
+    return np.concatenate(parts).astype("<u4") if parts else np.zeros(0, "<u4")
+
+
 def _open(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
 def encode_table(docs: DataFrame, vocabulary: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of every whole text, with the end id: id, n_tokens, ids (little-endian unsigned 32-bit), ids_crc32."""
+    """Ids of every whole text, with the end id: id, n_tokens, ids (see squeeze), ids_crc32 (of the ids as unsigned 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(vocabulary)
@@ -81,7 +97,7 @@ def encode_table(docs: DataFrame, vocabulary: str, end_id: int | None, id_col: s
                     ids, at = np.insert(ids, at[1:], np.uint32(end_id)), at + np.arange(len(at))
                 raw = memoryview(ids.astype("<u4").tobytes())
                 cells = [bytes(raw[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(cells, pa.binary()), pa.array([zlib.crc32(c) for c in cells], pa.int64())], names=["doc_id", "n_tokens", "ids", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(squeeze(ids, at), pa.binary()), pa.array([zlib.crc32(c) for c in cells], pa.int64())], names=["doc_id", "n_tokens", "ids", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary, ids_crc32 long")
 
@@ -92,7 +108,7 @@ def frequencies(encoded: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
+            n = np.bincount(expand(batch.column(0).to_pylist()))
             if len(n) > len(total):
                 n[: len(total)] += total
                 total = n
@@ -127,7 +143,7 @@ def write_files(encoded: DataFrame, uri: str, counts: np.ndarray) -> DataFrame:
                     if out is None:
                         out = fs.open_output_stream(f"{path}/{name}")
                         out.write(MAGIC)
-                    ids = np.frombuffer(b"".join(block.column(1).to_pylist()), "<u4")
+                    ids = expand(block.column(1).to_pylist())
                     control, data = pack(rank[ids])
                     keys = block.column(0)
                     out.write(struct.pack(HEAD, block.num_rows, len(ids), len(control), len(data)))
