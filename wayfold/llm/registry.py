@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("chat_format", "bpe", "token_files", "warc", "quality", "langid", "decontaminate", "brown", "substring_dedup")
+MODULES = ("chat_format", "bpe", "token_files", "warc", "quality", "langid", "decontaminate", "brown", "substring_dedup", "minhash")
 
 
 def _gather(name: str) -> dict:
