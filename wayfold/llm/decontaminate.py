@@ -135,6 +135,8 @@ def _matches(texts: pa.Array, seed: np.ndarray, seed_item: np.ndarray, seed_at:
     at = np.concatenate((at, np.zeros(len(grams) - len(at), np.int64)))
     low, high = np.searchsorted(seed, grams, "left"), np.searchsorted(seed, grams, "right")
     hit = np.flatnonzero(high > low)
+    if not len(hit):
+        return out
     many = (high - low)[hit]
     which = np.repeat(low[hit] - (np.cumsum(many) - many), many) + np.arange(many.sum())
     doc, item = np.repeat(owner[hit], many), seed_item[which]
