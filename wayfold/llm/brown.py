@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import hashes_of, slices, table, words_of, written
 from .langid import fold
-from .token_files import pack, unpack
+from .token_files import SIZES, pack, unpack
 
 #: Words with an item of their own, classes, rounds of exchange at most, and the weight of the class frequencies in a transition.
 HEAD, CLASSES, ROUNDS, SMOOTH = 1000, 48, 12, 2.0
-#: Bytes of text in a chunk.
-CHUNK = 24 << 20
+#: Bytes of text in a chunk, and tokens that are looked at together.
+CHUNK, BLOCK = 16 << 20, 1 << 18
 #: Item 0 ends a text; items 1 to BANDS are words outside the head, by the power of two of their count.
 BANDS = 40
 
@@ -103,15 +103,31 @@ def with_counts(chunks: DataFrame, rows: DataFrame, counts: DataFrame, head: np.
     return written(joined, "lm-counted")
 
 
-def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes with -1 as end token, items, start of each text, and whether a text is held out."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One chunk at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+def _blocks(row: dict) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """The texts of a chunk, some at a time: which they are, codes with -1 as end token, and where each text begins."""
     sizes = np.frombuffer(row["sizes"], "<i4").astype(np.int64)
-    codes = unpack(row["control"], row["data"], row["n_codes"]).astype(np.int64) if row["n_codes"] else np.zeros(0, np.int64)
-    codes = np.insert(codes, np.cumsum(sizes), -1)
-    items = np.frombuffer(row["items"], "<i2").astype(np.int64)
-    of = np.append(items, 0)[codes]
-    ends = np.cumsum(sizes + 1)
-    return codes, of, ends - sizes - 1, np.array(row["held"], bool)
+    ends = np.cumsum(sizes)
+    control, data = np.frombuffer(row["control"], np.uint8), memoryview(row["data"])
+    a = used = 0
+    while a < len(sizes):
+        low = int(ends[a] - sizes[a])
+        z = max(a + 1, int(np.searchsorted(ends, low + BLOCK, side="right")))
+        high = int(ends[z - 1])
+        mine = control[low // 4 : -(-high // 4)]
+        shift = low % 4
+        taken = int(SIZES[mine].ravel()[shift : shift + high - low].sum())
+        # Values of a shared control byte that belong to the block before have no data here.
+        codes = unpack(mine, data[used : used + taken], high - low, shift).astype(np.int32) if high > low else np.zeros(0, np.int32)
+        used += taken
+        yield slice(a, z), np.insert(codes, ends[a:z] - low, -1), ends[a:z] - sizes[a:z] - low + np.arange(z - a)
+        a = z
 
 
 def bigrams(counted: DataFrame, n_items: int) -> np.ndarray:
@@ -119,12 +135,14 @@ def bigrams(counted: DataFrame, n_items: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_items * n_items, np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, of, begin, held = _tokens(row)
-                before = np.concatenate(([0], of[:-1])) if len(of) else of
-                mine = np.repeat(~held, np.diff(np.append(begin, len(of))))
-                total += np.bincount((before * n_items + of)[mine], minlength=len(total))
+        for row in _rows(batches):
+            items, held = np.append(np.frombuffer(row["items"], "<i2").astype(np.int32), np.int32(0)), np.array(row["held"], bool)
+            for which, codes, begin in _blocks(row):
+                of = items[codes]
+                before = np.concatenate((np.zeros(1, np.int32), of[:-1]))
+                mine = np.repeat(~held[which], np.diff(np.append(begin, len(of))))
+                pairs, n = np.unique((before * np.int32(n_items) + of)[mine], return_counts=True)
+                total[pairs] += n
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
 
@@ -216,23 +234,20 @@ def score(counted: DataFrame, model: Model, ends: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         floor = np.log10(m.total + m.kinds + 1)
-        for batch in batches:
-            for row in batch.to_pylist():
-                codes, of, begin, held = _tokens(row)
-                if not len(begin):
-                    continue
-                counts = np.append(np.frombuffer(row["counts"], "<i8"), ends)
-                items = np.append(np.frombuffer(row["items"], "<i2").astype(np.int64), 0)
-                emit = m.emission(items, counts)
-                emit[-1] = 0.0  # the end token is alone in its class
-                cls = m.cls[of]
-                before = np.concatenate(([0], cls[:-1]))
-                values = m.step[before, cls] + emit[codes] if m.total else np.zeros(len(codes))
-                base = (np.log10(counts + 1) - floor)[codes]
+        for row in _rows(batches):
+            counts = np.append(np.frombuffer(row["counts"], "<i8"), ends)
+            items = np.append(np.frombuffer(row["items"], "<i2").astype(np.int64), 0)
+            emit = m.emission(items, counts)
+            emit[-1] = 0.0  # the end token is alone in its class
+            base, known, cls = np.log10(counts + 1) - floor, counts > 0, m.cls[items].astype(np.int32)
+            for which, codes, begin in _blocks(row):
+                now = cls[codes]
+                before = np.concatenate((np.zeros(1, np.int32), now[:-1]))
+                values = m.step[before, now] + emit[codes] if m.total else np.zeros(len(codes))
                 size = np.diff(np.append(begin, len(codes)))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(row["doc_ids"], pa.int64()), pa.array(held), pa.array(size, pa.int64()), pa.array(np.add.reduceat((counts > 0)[codes].astype(np.int64), begin)),
-                    pa.array(np.full(len(size), m.total, np.int64)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(values, begin)),
+                    pa.array(row["doc_ids"][which], pa.int64()), pa.array(row["held"][which], pa.bool_()), pa.array(size, pa.int64()), pa.array(np.add.reduceat(known[codes].astype(np.int64), begin)),
+                    pa.array(np.full(len(size), m.total, np.int64)), pa.array(np.add.reduceat(base[codes], begin)), pa.array(np.add.reduceat(values, begin)),
                 ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return counted.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

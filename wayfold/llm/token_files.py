@@ -54,9 +54,9 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     return (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).astype(np.uint8).tobytes(), data.tobytes()
 
 
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The values again, by table lookup."""
-    size = SIZES[np.frombuffer(control, np.uint8)].ravel()[:n]
+def unpack(control: bytes, data: bytes, n: int, skip: int = 0) -> np.ndarray:
+    """The values again, by table lookup; skip: values of the first control byte that are not in data."""
+    size = SIZES[np.frombuffer(control, np.uint8)].ravel()[skip : skip + n]
     at = np.cumsum(size) - size
     raw = np.frombuffer(data, np.uint8)
     out = raw[at].astype(np.uint32)
