@@ -128,7 +128,7 @@ class Encoder:
             at = np.concatenate(([0], np.cumsum([len(x) for x in split])))
             code = np.concatenate(split) if split else code
         # Distinct pieces are cut further, and what remains is encoded once.
-        parts = [[p] if "\x00" in p else self.cut(p) for p in pieces]
+        parts = [[p] if p[1:].isalpha() or "\x00" in p else self.cut(p) for p in pieces]
         ids = self.ids_of(list(chain.from_iterable(parts)))
         tokens = np.frombuffer(b"".join(ids), np.uint32)
         part_ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))))) // 4

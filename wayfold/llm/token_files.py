@@ -45,7 +45,7 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     at = np.cumsum(extra.astype(np.int64) + 1) - extra - 1
     data = np.zeros(int(at[-1]) + int(extra[-1]) + 1 if len(at) else 0, np.uint8)
-    for k in range(4):
+    for k in range(int(extra.max()) + 1 if len(extra) else 0):
         has = extra >= k
         data[at[has] + k] = ranks[has] >> np.uint32(8 * k) & np.uint32(0xFF)
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
@@ -60,7 +60,7 @@ def unpack(control: bytes, data: bytes, n: int, skip: int = 0) -> np.ndarray:
     at = np.cumsum(size) - size
     raw = np.frombuffer(data, np.uint8)
     out = raw[at].astype(np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, int(size.max()) if n else 0):
         has = size > k
         out[has] |= raw[at[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
@@ -68,7 +68,7 @@ def unpack(control: bytes, data: bytes, n: int, skip: int = 0) -> np.ndarray:
 
 def squeeze(ids: np.ndarray, at: np.ndarray) -> list[bytes]:
     """The ids of each text as one compressed cell, in 16-bit integers where they fit: what is shuffled and kept meanwhile."""
-    zip_ = zstandard.ZstdCompressor(3)
+    zip_ = zstandard.ZstdCompressor(1)
     wide = len(ids) > 0 and int(ids.max()) > 0xFFFF
     raw, size = memoryview(ids.astype("<u4" if wide else "<u2").tobytes()), 4 if wide else 2
     return [(b"\x04" if wide else b"\x02") + zip_.compress(raw[size * a : size * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
