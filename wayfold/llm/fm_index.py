@@ -48,25 +48,42 @@ class WaveletMatrix:
         return self._down(symbol, at) - self.base[symbol]
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffix array of a text whose suffixes all differ before they end, by prefix doubling."""
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix array of a text whose suffixes all differ before they end, by prefix doubling.
+
+    Also, for each place, the interval of the suffixes that agree with its own in the first `depth` symbols (a power of
+    two): suffixes that agree stand together in every later order.
+    """
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    step = 1
+    step, low, high = 1, None, None
     while True:
+        if step == depth:
+            low, high = _blocks(rank)
         key = rank * (n + 1)
         key[: n - step] += rank[step:] + 1
         order = np.argsort(key, kind="stable")
         new = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
         rank = np.empty(n, np.int64)
         rank[order] = new
-        if n == 0 or new[-1] == n - 1:
-            return order
         step *= 2
+        if new[-1] == n - 1:
+            return order, *(_blocks(rank) if low is None else (low, high))
+
+
+def _blocks(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = np.bincount(rank)
+    end = np.cumsum(size)
+    return (end - size)[rank], end[rank]
 
 
 class FMIndex:
-    """Of many word sequences. Each is closed by a mark of its own, so no match runs from one into the next."""
+    """Of many word sequences. Each is closed by a mark of its own, so no match runs from one into the next.
+
+    The intervals of all runs of SEED words that start in the index are kept from the suffix order.
+    """
+
+    SEED = 32
 
     def __init__(self, words: np.ndarray, offsets: np.ndarray):
         sizes = np.diff(offsets)
@@ -79,23 +96,37 @@ class FMIndex:
         text[ends] = np.arange(n_seq)
         text[inner] = code + n_seq
         self.n_seq, self.n = n_seq, len(text)
-        order = suffix_order(text) if self.n else np.zeros(0, np.int64)
         sigma = n_seq + len(self.alphabet)
+        if self.n:
+            order, low, high = suffix_order(text, self.SEED)
+            self.low, self.high = low[inner], high[inner]
         self.bwt = WaveletMatrix(text[order - 1], max(sigma, 2)) if self.n else None
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma)))) if self.n else np.zeros(1, np.int64)
 
-    def statistics(self, words: np.ndarray, ends: np.ndarray, longest: int, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    def statistics(self, words: np.ndarray, ends: np.ndarray, longest: int, least: int = 2, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics of streamed words, up to `longest`: for each end, how many words before it occur together
-        at least `least` times in the index, and how often they do. All ends search backwards side by side."""
+        at least `least` times in the index, and how often they do. All ends search backwards side by side.
+
+        own: the words are a prefix of the indexed ones, each end has SEED words of its sequence before it, and lengths
+        under SEED don't matter: the search starts from the kept intervals, and shorter matches are given as 0.
+        """
         length = np.zeros(len(ends), np.int64)
         times = np.zeros(len(ends), np.int64)
         if not self.n or not len(ends):
             return length, times
         at = np.minimum(np.searchsorted(self.alphabet, words), len(self.alphabet) - 1)
         code = np.where(self.alphabet[at] == words, at + self.n_seq, -1)
-        live = np.arange(len(ends))
+        live, done = np.arange(len(ends)), 0
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
-        for k in range(longest):
+        if own and longest >= self.SEED:
+            done = self.SEED
+            low, high = self.low[ends - done], self.high[ends - done]
+            ok = high - low >= least
+            live, low, high = live[ok], low[ok], high[ok]
+            length[live], times[live] = done, high - low
+        for k in range(done, longest):
+            if not len(live):
+                break
             place = ends[live] - 1 - k
             symbol = np.where(place >= 0, code[np.maximum(place, 0)], -1)
             ok = symbol >= 0
@@ -105,6 +136,4 @@ class FMIndex:
             ok = high - low >= least
             live, low, high = live[ok], low[ok], high[ok]
             length[live], times[live] = k + 1, high - low
-            if not len(live):
-                break
         return length, times

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +98,20 @@ def segments(starts: np.ndarray, hashed: np.ndarray, window: int = WINDOW) -> di
 SEGMENTS = "rk1 long, rk2 long, first int, windows short, mini long, h1 long"
 
 
+def minimizer_counts(docs: DataFrame) -> DataFrame:
+    """mini, n: segments of each minimizer that has two or more. Each task adds up its own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                starts, code, words = words_of(part.column(0))
+                if len(code):
+                    mini, n = np.unique(segments(starts, hashes_of(words)[code])["mini"], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(mini, pa.int64()), pa.array(n, pa.int64())], names=["mini", "n"])
+
+    return docs.select("text").mapInArrow(run, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n")).filter("n > 1")
+
+
 def all_segments(docs: DataFrame) -> DataFrame:
     """Segments of every document (columns text, rk1, rk2)."""
 
@@ -113,50 +128,73 @@ def all_segments(docs: DataFrame) -> DataFrame:
     return docs.select("text", "rk1", "rk2").mapInArrow(run, SEGMENTS)
 
 
+def pack_texts(docs: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns and the text as a compressed cell, packed: what is shuffled when texts are joined."""
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "packed binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            cells = [None if t is None else squeeze(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(cells, pa.binary())], names=[*keep, "packed"])
+
+    return docs.select(F.col("text").alias("packed_text"), *keep).mapInArrow(run, schema)
+
+
+def unpack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded size with column 0, packed, as text again."""
+    for batch in batches:
+        for part in slices(batch, "packed", 3 << 20):
+            unzip = zstandard.ZstdDecompressor().decompress
+            texts = pa.array([None if c is None else unzip(c).decode() for c in part.column(0).to_pylist()], pa.large_string())
+            yield from slices(pa.RecordBatch.from_arrays([texts, *part.columns[1:]], names=["text", *part.schema.names[1:]]), "text")
+
+
 def cut_pieces(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """The pieces that go to shards: key, h1, copies, words.
 
     wanted has rk1, rk2, first, windows, mini, h1, copies and hot; windows of hot segments come one by one. Pieces of
-    equal content are one, with the sum of their copies, first in each task and then over all.
+    equal content are one in each task, with the sum of their copies.
     """
     listed = wanted.groupBy("rk1", "rk2").agg(F.collect_list(F.struct("first", "windows", "mini", "h1", "copies", "hot")).alias("wanted"))
-    texts = docs.join(listed, ["rk1", "rk2"]).select("text", "wanted")
+    texts = pack_texts(docs, "rk1", "rk2").join(listed, ["rk1", "rk2"]).select("packed", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                starts, code, words = words_of(part.column(0))
-                if not len(code):
-                    continue
-                hashed = hashes_of(words)[code]
-                lists = part.column(1)
-                flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
-                first, windows, mini, h1, copies, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(6))
-                hot = hot.astype(bool)
-                begin = np.repeat(starts[:-1], sizes) + first
-                each = np.where(hot, windows, 1).astype(np.int64)
-                of = np.repeat(np.arange(len(begin)), each)
-                at = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
-                size = np.where(hot, WINDOW, windows.astype(np.int64) + WINDOW - 1)[of]
-                own = Runs(hashed).of(at, size).view(np.int64)
-                key = np.where(hot[of], own, mini[of])
-                own, pick, back = np.unique(own, return_index=True, return_inverse=True)
-                times = np.bincount(back, copies[of]).astype(np.int64)
-                for a in range(0, len(pick), 20_000):
-                    p = pick[a : a + 20_000]
-                    cells = [hashed[x : x + n].tobytes() for x, n in zip(at[p], size[p], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(own[a : a + 20_000]), pa.array(times[a : a + 20_000]), pa.array(cells, pa.binary())], names=["key", "h1", "copies", "words"])
-
-    found = texts.mapInArrow(run, "key long, h1 long, copies long, words binary")
-    return found.groupBy("key", "h1").agg(F.sum("copies").alias("copies"), F.first("words").alias("words"))
+        for part in unpack_batches(batches):
+            starts, code, words = words_of(part.column(0))
+            if not len(code):
+                continue
+            hashed = hashes_of(words)[code]
+            lists = part.column(1)
+            flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            first, windows, mini, h1, copies, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(6))
+            hot = hot.astype(bool)
+            begin = np.repeat(starts[:-1], sizes) + first
+            each = np.where(hot, windows, 1).astype(np.int64)
+            of = np.repeat(np.arange(len(begin)), each)
+            at = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+            size = np.where(hot, WINDOW, windows.astype(np.int64) + WINDOW - 1)[of]
+            own = Runs(hashed).of(at, size).view(np.int64)
+            key = np.where(hot[of], own, mini[of])
+            own, pick, back = np.unique(own, return_index=True, return_inverse=True)
+            times = np.bincount(back, copies[of]).astype(np.int64)
+            for a in range(0, len(pick), 20_000):
+                p = pick[a : a + 20_000]
+                cells = [hashed[x : x + n].tobytes() for x, n in zip(at[p], size[p], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(own[a : a + 20_000]), pa.array(times[a : a + 20_000]), pa.array(cells, pa.binary())], names=["key", "h1", "copies", "words"])
+
+    return texts.mapInArrow(run, "key long, h1 long, copies long, words binary")
 
 
 def repeated(pieces: DataFrame, shards: int) -> DataFrame:
     """Windows of each piece that stand at two places of its shard's index: h1, marks (a byte per window)."""
 
     def run(tbl: pa.Table) -> pa.Table:
-        cells = tbl.column("words").to_pylist()
-        twice = [c for c, n in zip(cells, tbl.column("copies").to_pylist(), strict=True) if n > 1]
+        # Windows of hot minimizers come from several tasks: equal ones are one piece.
+        h1, pick, back = np.unique(tbl.column("h1").to_numpy(), return_index=True, return_inverse=True)
+        copies = np.bincount(back, tbl.column("copies").to_numpy())
+        cells = tbl.column("words").take(pa.array(pick)).to_pylist()
+        twice = [c for c, n in zip(cells, copies, strict=True) if n > 1]
         words = np.frombuffer(b"".join(cells + twice), np.uint64)
         sizes = np.fromiter((len(c) // 8 for c in cells + twice), np.int64, len(cells) + len(twice))
         offsets = np.concatenate(([0], np.cumsum(sizes)))
@@ -164,45 +202,53 @@ def repeated(pieces: DataFrame, shards: int) -> DataFrame:
         n_win = sizes[: len(cells)] - WINDOW + 1
         to = np.cumsum(n_win)
         ends = np.repeat(offsets[: len(cells)] + WINDOW - (to - n_win), n_win) + np.arange(n_win.sum())
-        length, _ = index.statistics(words, ends, WINDOW)
+        length, _ = index.statistics(words, ends, WINDOW, own=True)
         marks = (length >= WINDOW).astype(np.uint8)
         rows = np.flatnonzero(np.add.reduceat(marks, to - n_win, dtype=np.int64)) if len(marks) else np.zeros(0, np.int64)
-        return pa.table({"h1": tbl.column("h1").take(pa.array(rows)), "marks": pa.array([marks[to[r] - n_win[r] : to[r]].tobytes() for r in rows], pa.binary())})
+        return pa.table({"h1": pa.array(h1[rows], pa.int64()), "marks": pa.array([marks[to[r] - n_win[r] : to[r]].tobytes() for r in rows], pa.binary())})
 
     return pieces.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(run, "h1 long, marks binary")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """rk1, rk2, first, windows, marks of every segment with repeated windows (columns of docs: text, rk1, rk2)."""
-    every = written(all_segments(docs), "dedup-segments")
-    kinds = written(every.groupBy("mini", "h1").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rk1", "rk2", "first", "windows")).alias("at")), "dedup-kinds")
-    minis = written(kinds.groupBy("mini").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("kinds")).filter("n > 1").select("mini", (F.col("kinds") > HOT).alias("hot")), "dedup-minimizers")
-    cold = kinds.join(minis.filter("not hot").select("mini"), "mini", "left_semi").select("at.*", "mini", "h1", "copies", F.lit(False).alias("hot"))
-    hot = every.join(minis.filter("hot").select("mini"), "mini", "left_semi").select("rk1", "rk2", "first", "windows", "mini", "h1", F.lit(1).cast("long").alias("copies"), F.lit(True).alias("hot"))
-    pieces = written(cut_pieces(cold.unionByName(hot), docs), "dedup-pieces")
-    n_words = pieces.agg(F.sum(F.octet_length("words") / 8 * F.least("copies", F.lit(2)))).first()[0] or 0
-    marks = written(repeated(pieces, int(n_words // SHARD_WORDS) + 1), "dedup-marks")
-    found = every.join(marks, "h1").select("rk1", "rk2", "first", "windows", "marks")
+    """rk1, rk2, first, windows, marks of every segment with repeated windows (columns of docs: text, rk1, rk2).
+
+    Null marks: all windows of the segment are repeated.
+    """
+    often = written(minimizer_counts(docs), "dedup-minimizers")
+    some = written(all_segments(docs).join(often.select("mini"), "mini"), "dedup-segments").select("rk1", "rk2", "first", "windows", "mini", "h1")
+    kinds = written(some.groupBy("mini", "h1").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rk1", "rk2", "first", "windows")).alias("at")), "dedup-kinds")
+    minis = written(kinds.groupBy("mini").agg(F.count(F.lit(1)).alias("kinds")).select("mini", "kinds", (F.col("kinds") > HOT).alias("hot")), "dedup-kinds-of")
+    cold = kinds.join(minis.filter("kinds > 1 and not hot").select("mini"), "mini", "left_semi").select("at.*", "mini", "h1", "copies", F.lit(False).alias("hot"))
+    hot = some.join(minis.filter("hot").select("mini"), "mini", "left_semi").select("rk1", "rk2", "first", "windows", "mini", "h1", F.lit(1).cast("long").alias("copies"), F.lit(True).alias("hot"))
+    hot = written(hot, "dedup-hot")
+    pieces = cold.unionByName(hot)
+    n_words = pieces.agg(F.sum(F.when(F.col("hot"), F.col("windows") * WINDOW).otherwise((F.col("windows") + WINDOW - 1) * F.least("copies", F.lit(2))))).first()[0] or 0
+    marks = written(repeated(cut_pieces(pieces, docs), int(n_words // SHARD_WORDS) + 1), "dedup-marks")
+    # Exact copies of one kind of segment are collapsed before the index: where nothing else has their minimizer, they repeat as a whole.
+    whole = some.join(minis.filter("kinds = 1").select("mini"), "mini", "left_semi").select("rk1", "rk2", "first", "windows", F.lit(None).cast("binary").alias("marks"))
+    found = some.join(marks, "h1").select("rk1", "rk2", "first", "windows", "marks").unionByName(whole)
+    if hot.isEmpty():
+        return found
     return found.unionByName(hot_windows(hot, docs).join(marks, "h1").select("rk1", "rk2", "first", F.lit(1).cast("short").alias("windows"), "marks"))
 
 
 def hot_windows(hot: DataFrame, docs: DataFrame) -> DataFrame:
     """Windows of hot segments with the hash that names them as pieces: rk1, rk2, first, h1."""
     listed = hot.groupBy("rk1", "rk2").agg(F.collect_list(F.struct("first", "windows")).alias("wanted"))
-    texts = docs.join(listed, ["rk1", "rk2"]).select("text", "rk1", "rk2", "wanted")
+    texts = pack_texts(docs, "rk1", "rk2").join(listed, ["rk1", "rk2"]).select("packed", "rk1", "rk2", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                starts, code, words = words_of(part.column(0))
-                lists = part.column(3)
-                flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
-                first, windows = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
-                doc = np.repeat(np.repeat(np.arange(len(sizes)), sizes), windows)
-                at = np.repeat(first - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-                own = Runs(hashes_of(words)[code]).of(starts[doc] + at, WINDOW).view(np.int64)
-                take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([part.column(1).take(take), part.column(2).take(take), pa.array(at, pa.int32()), pa.array(own)], names=["rk1", "rk2", "first", "h1"])
+        for part in unpack_batches(batches):
+            starts, code, words = words_of(part.column(0))
+            lists = part.column(3)
+            flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            first, windows = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+            doc = np.repeat(np.repeat(np.arange(len(sizes)), sizes), windows)
+            at = np.repeat(first - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+            own = Runs(hashes_of(words)[code]).of(starts[doc] + at, WINDOW).view(np.int64)
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([part.column(1).take(take), part.column(2).take(take), pa.array(at, pa.int32()), pa.array(own)], names=["rk1", "rk2", "first", "h1"])
 
     return texts.mapInArrow(run, "rk1 long, rk2 long, first int, h1 long")
 
@@ -214,31 +260,31 @@ def substring_dedup(docs: DataFrame, columns: list[str], text_col: str = "text",
     found = repeated_windows(once)
     per_doc = found.groupBy("rk1", "rk2").agg(F.collect_list(F.struct("first", "windows", "marks")).alias("hits"))
     kept = [c for c in columns if c not in ("n_words", "n_removed", "kept_sha256", "spans", "kept_text")]
-    joined = keyed.join(per_doc, ["rk1", "rk2"], "left").select(F.col(text_col).alias("read_text"), "hits", *kept)
+    packed = pack_texts(keyed.select(F.col(text_col).alias("text"), *kept, "rk1", "rk2"), *kept, "rk1", "rk2")
+    joined = packed.join(per_doc, ["rk1", "rk2"], "left").select("packed", "hits", *kept)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "n_words long, n_removed long, kept_sha256 string, spans array<struct<first:bigint,words:bigint>>", *["kept_text string"] * keep_text])
     span = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "read_text"):
-                texts = part.column(0).to_pylist()
-                starts, code, words = words_of(part.column(0))
-                gone = _covered(starts, part.column(1))
-                parts = np.array(words.cast(pa.large_binary()).to_pylist() + [b""], object)
-                n_words, n_removed, said, spans, left = np.diff(starts), [], [], [], []
-                for k in range(len(texts)):
-                    a, z = starts[k], starts[k + 1]
-                    out = gone[a:z]
-                    body = b" ".join(parts[code[a:z][~out]])
-                    edge = np.diff(np.concatenate(([0], out.astype(np.int8), [0])))
-                    first = np.flatnonzero(edge == 1)
-                    n_removed.append(int(out.sum()))
-                    said.append(hashlib.sha256(body).hexdigest())
-                    spans.append([{"first": int(f), "words": int(e - f)} for f, e in zip(first, np.flatnonzero(edge == -1), strict=True)])
-                    if keep_text:
-                        left.append(texts[k] if not n_removed[-1] else body.decode())
-                out = [*part.columns[2:], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(said, pa.string()), pa.array(spans, span)]
-                yield pa.RecordBatch.from_arrays(out + [pa.array(left, pa.string())] * keep_text, names=[*kept, "n_words", "n_removed", "kept_sha256", "spans", *["kept_text"] * keep_text])
+        for part in unpack_batches(batches):
+            texts = part.column(0).to_pylist()
+            starts, code, words = words_of(part.column(0))
+            gone = _covered(starts, part.column(1))
+            parts = np.array(words.cast(pa.large_binary()).to_pylist() + [b""], object)
+            n_words, n_removed, said, spans, left = np.diff(starts), [], [], [], []
+            for k in range(len(texts)):
+                a, z = starts[k], starts[k + 1]
+                out = gone[a:z]
+                body = b" ".join(parts[code[a:z][~out]])
+                edge = np.diff(np.concatenate(([0], out.astype(np.int8), [0])))
+                first = np.flatnonzero(edge == 1)
+                n_removed.append(int(out.sum()))
+                said.append(hashlib.sha256(body).hexdigest())
+                spans.append([{"first": int(f), "words": int(e - f)} for f, e in zip(first, np.flatnonzero(edge == -1), strict=True)])
+                if keep_text:
+                    left.append(texts[k] if not n_removed[-1] else body.decode())
+            out = [*part.columns[2:], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(said, pa.string()), pa.array(spans, span)]
+            yield pa.RecordBatch.from_arrays(out + [pa.array(left, pa.string())] * keep_text, names=[*kept, "n_words", "n_removed", "kept_sha256", "spans", *["kept_text"] * keep_text])
 
     return joined.mapInArrow(run, schema)
 
@@ -251,7 +297,8 @@ def _covered(starts: np.ndarray, hits: pa.Array) -> np.ndarray:
     if len(flat):
         first, windows = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
         begin = np.repeat(starts[:-1], sizes) + first
-        bits = np.frombuffer(b"".join(flat.field(2).to_pylist()), np.uint8)
+        cells = flat.field(2).to_pylist()
+        bits = np.frombuffer(b"".join(b"\x01" * int(n) if c is None else c for c, n in zip(cells, windows, strict=True)), np.uint8)
         at = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
         at = at[bits > 0]
         np.add.at(edge, at, 1)
