@@ -96,7 +96,8 @@ def split(streets: DataFrame, points: DataFrame, eps: float = EPS) -> DataFrame:
 
 def induce_nodes(streets: DataFrame, eps: float = EPS) -> DataFrame:
     """Streets cut wherever a node is missing; the search distance is EPS, eps is that of the cut. Adds _status, piece."""
-    return split(streets, induce_points(streets), eps)
+    streets = written(streets, "streets")
+    return split(streets, written(induce_points(streets), "induced-points"), eps)
 
 
 def status_of(statuses: Column, n: Column) -> Column:

@@ -10,6 +10,16 @@ from ..operators import topology as T
 from ..operators.graph import connected_components
 from ..operators.spatial import segment_table
 from ..plans.network import SQL_POINTS, streets
+from ..plans.storage import written
+
+
+def network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The network, written once: the operators read their input several times."""
+    return written(streets(spark, sf_dir), "network")
+
+
+def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(T.dedupe(streets(spark, sf_dir)), "deduped")
 
 
 def street_length_total(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,39 +45,39 @@ def loop_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def degree_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.degree_mismatch(T.dedupe(streets(spark, sf_dir)))
+    return T.degree_mismatch(deduped(spark, sf_dir))
 
 
 def loop_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    off, on = T.loop_contacts(streets(spark, sf_dir))
+    off, on = T.loop_contacts(network(spark, sf_dir))
     return off.select("loop_id", "x", "y", F.lit("off").alias("side")).unionByName(on.select("loop_id", "x", "y", F.lit("on").alias("side")))
 
 
 def induce_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.induce_points(T.dedupe(streets(spark, sf_dir)))
+    return T.induce_points(deduped(spark, sf_dir))
 
 
 def split_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = T.induce_nodes(T.dedupe(streets(spark, sf_dir)))
+    out = T.induce_nodes(deduped(spark, sf_dir))
     return out.select("street_id", F.col("piece").cast("long").alias("piece"), "name", F.coalesce("_status", F.lit("kept")).alias("status"), F.size("geom").cast("long").alias("n_points"), F.round(L.length(F.col("geom")), 4).alias("length"))
 
 
 def interstitial_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.chain_labels(T.dedupe(streets(spark, sf_dir)))
+    return T.chain_labels(deduped(spark, sf_dir))
 
 
 def interstitial_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = T.remove_interstitial_nodes(T.dedupe(streets(spark, sf_dir)), {"rank": "max"})
+    out = T.remove_interstitial_nodes(deduped(spark, sf_dir), {"rank": "max"})
     return out.select("street_id", "name", "rank", F.col("_status").alias("status"), F.round(L.length(F.col("geom")), 4).alias("length"))
 
 
 def fixed_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = T.fix_topology(streets(spark, sf_dir))
+    out = T.fix_topology(network(spark, sf_dir))
     return out.agg(F.count(F.lit(1)).alias("n_streets"), F.round(F.sum(L.length(F.col("geom"))), 3).alias("total_length"))
 
 
 def bowtie_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.bowtie_nodes(_bowties(spark, sf_dir))
+    return T.bowtie_nodes(written(_bowties(spark, sf_dir), "bowties"))
 
 
 def _bowties(spark: SparkSession, sf_dir: str) -> DataFrame:
