@@ -33,7 +33,9 @@ from .common import ODD, hashes_of, mix, row_key, slices, table, words_of, writt
 from .fm_index import FMIndex
 
 #: Words of a window, words whose hash may be a minimizer, words of a shard, and segments from which a minimizer is hot.
-WINDOW, SEED, SHARD_WORDS, HOT = 35, 8, 600_000, 5_000
+WINDOW, SEED, SHARD_WORDS, HOT = 35, 8, 300_000, 5_000
+#: Bytes of text, and of compressed text, that a task looks at together.
+PART, PACKED_PART = 3 << 20, 1 << 20
 _INVERSE = pow(int(ODD), -1, 2**64)
 
 
@@ -103,7 +105,7 @@ def minimizer_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 starts, code, words = words_of(part.column(0))
                 if len(code):
                     mini, n = np.unique(segments(starts, hashes_of(words)[code])["mini"], return_counts=True)
@@ -117,7 +119,7 @@ def all_segments(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 starts, code, words = words_of(part.column(0))
                 if not len(code):
                     continue
@@ -144,10 +146,10 @@ def pack_texts(docs: DataFrame, *keep: str) -> DataFrame:
 def unpack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of bounded size with column 0, packed, as text again."""
     for batch in batches:
-        for part in slices(batch, "packed", 3 << 20):
+        for part in slices(batch, "packed", PACKED_PART):
             unzip = zstandard.ZstdDecompressor().decompress
             texts = pa.array([None if c is None else unzip(c).decode() for c in part.column(0).to_pylist()], pa.large_string())
-            yield from slices(pa.RecordBatch.from_arrays([texts, *part.columns[1:]], names=["text", *part.schema.names[1:]]), "text")
+            yield from slices(pa.RecordBatch.from_arrays([texts, *part.columns[1:]], names=["text", *part.schema.names[1:]]), "text", PART)
 
 
 def cut_pieces(wanted: DataFrame, docs: DataFrame) -> DataFrame:
