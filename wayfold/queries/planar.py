@@ -12,13 +12,15 @@ from ..operators import cluster as K
 from ..operators import faces as A
 from ..operators import gaps as G
 from ..operators import planar as P
+from ..operators import simplify as M
 from ..operators import strokes as S
 from ..operators import topology as T
 from ..plans.network import streets
 from ..plans.storage import written
 from .topology import CONTACTS, DEDUPED, INDUCED, MISMATCH, NEAR, PIECES, W, deduped, network
 
-THRESHOLD = 7.5
+#: Of the single-round queries, and a wider one that also takes neighbouring blocks, so that pairs occur.
+THRESHOLD, PAIR_THRESHOLD = 7.5, 8.65
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +161,23 @@ def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(F.coalesce("_status", F.lit("none")).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(L.length(F.col("geom"))), 1).alias("length"))
 
 
+def pair_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of artifacts and what is to be done with the street between them."""
+    pieces = _pieces(spark, sf_dir)
+    labelled = P.face_edges(pieces)
+    f = written(A.with_index(P.faces(labelled), "isoperimetric_quotient"), "faces")
+    adjacent = written(P.rook_adjacency(labelled, f), "adjacent")
+    art = f.filter(F.col("face_artifact_index") < PAIR_THRESHOLD)
+    out = M.pair_table(pieces, written(M.boundary(labelled, art), "outline"), written(P.face_components(adjacent, art), "parts"))
+    return out.groupBy("solution", "n_shared", "seen_a", "seen_b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def simplified_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The network after repair, consolidation and one round of simplification."""
+    out = M.simplify(network(spark, sf_dir), threshold=THRESHOLD, n_loops=1)
+    return out.groupBy(F.coalesce("_status", F.lit("none")).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(L.length(F.col("geom"))), 1).alias("length"))
+
+
 #: Undirected edges of the cut network, pruned of dangles round by round, and half-edges with their successors and faces.
 EDGES = f"""{DEDUPED}{MISMATCH}{CONTACTS}{INDUCED}{PIECES},
 plain AS (
@@ -229,7 +248,7 @@ FREE = FREE.format(near=NEAR.replace("1e-4", "1e-9"))
 
 QUERIES = {
     f.__name__: f
-    for f in (planar_faces, rook_adjacency, artifact_fixpoint, artifact_components, face_kde, face_threshold, artifact_mask, stroke_groups, ces_types, dangling_ends, extend_rays, extended_total, density_components, node_clusters, close_gap_centroids, gaps_closed, consolidated)
+    for f in (planar_faces, rook_adjacency, artifact_fixpoint, artifact_components, face_kde, face_threshold, artifact_mask, stroke_groups, ces_types, dangling_ends, extend_rays, extended_total, density_components, node_clusters, close_gap_centroids, gaps_closed, consolidated, pair_solutions, simplified_total)
 }
 SHIFTED = """,
 moved AS (SELECT street_id, fx, fy, CASE WHEN street_id % 40 = 2 THEN lx + 2 ELSE lx END AS lx, ly FROM ends WHERE n = 2),
