@@ -5,8 +5,6 @@ A word is ``[^\\x20\\x09-\\x0D]+`` everywhere; a null text has no words.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,27 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints"
+from ..plans.storage import shared_dir, written  # noqa: F401
 
 MIX1 = np.uint64(0xFF51AFD7ED558CCD)
 MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
-    return f"{root.rstrip('/')}/wayfold-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read back: lineage ends there and lost executors lose nothing."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
