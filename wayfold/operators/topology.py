@@ -208,3 +208,15 @@ def fix_topology(streets: DataFrame, eps: float = EPS, aggfunc: str | dict = "fi
 def renumber(pieces: DataFrame) -> DataFrame:
     """Pieces with ids of their own, in the order of street and piece, without a global sort: id and piece in one number."""
     return pieces.withColumn("street_id", F.col("street_id") * 4096 + F.col("piece")).drop("piece")
+
+
+def compact(streets: DataFrame) -> DataFrame:
+    """The same streets numbered from 0 on in the order of street_id: ranges are numbered apart, and their sizes added up."""
+    placed = written(streets.repartitionByRange("street_id").sortWithinPartitions("street_id").withColumn("_m", F.monotonically_increasing_id()), "placed")
+    part, start, bases = F.shiftright("_m", 33), 0, []
+    for row in sorted(placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        bases.append((row["p"], start))
+        start += row["n"]
+    base = placed.sparkSession.createDataFrame(bases, "_p long, _base long")
+    out = placed.withColumn("_p", part).join(base, "_p")
+    return out.withColumn("street_id", F.col("_base") + F.col("_m").bitwiseAND((1 << 33) - 1)).select(*streets.columns)
