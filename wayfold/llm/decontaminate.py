@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds join documents to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join documents to test items, Smith-Waterman alignment scores them.
 
-A seed is a run of SEED words of an item that chance would hardly bring into the corpus: the product of its words'
-corpus frequencies, times the corpus size, stays below RARE. (The seed's own count is not used: an item that leaked into
-a third of all documents has common seeds.) Word frequencies come from all documents. A document that shares a seed with
-an item is aligned with it, words as letters, around the places where seeds match; the score is the alignment score over
-that of the item with itself, so edited and paraphrased copies score high and chance matches low.
+A seed is a run of SEED words of an item; every run is one, however common its words are in the corpus, so an edit costs
+only the seeds that hold it and the choice does not depend on the size of the corpus. A document that shares a seed with
+an item is aligned with it, words as letters, around the places where seeds match, unless too few of the item's words
+stand there for any alignment to reach SHARE; the score is the alignment score over that of the item with itself, so
+edited and paraphrased copies score high and chance matches low.
 
 Items are taken in blocks of ITEM_BLOCK, each block one pass over the documents: memory is bounded for any benchmark,
 and every document meets every item. Items shorter than a seed are one seed as a whole.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import gram_hashes, hashes_of, slices, table, words_of
 
-#: Words of a seed, expected chance occurrences that a seed may have, items in a block.
-SEED, RARE, ITEM_BLOCK = 3, 0.5, 5_000
+#: Words of a seed, items in a block, and seed hits that are looked at together.
+SEED, ITEM_BLOCK, HITS = 3, 5_000, 1 << 20
 #: Scores of an alignment: equal words, different words, a word left out or put in; and the share that makes a match.
 MATCH, MISMATCH, GAP, SHARE = 2, -1, -1, 0.5
 _EDGE = " ,.;:!?\"'()[]{}|#*$%&<>-_"
@@ -64,53 +64,19 @@ def local_alignment(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best, first, end
 
 
-def word_counts(docs: DataFrame, wanted: np.ndarray, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """Occurrences of each wanted word hash in all documents, and the number of all words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(wanted), np.int64), 0
-        for batch in batches:
-            for part in slices(batch, text_col):
-                _, hashed = _tokens(part.column(0))
-                at = np.minimum(np.searchsorted(wanted, hashed), len(wanted) - 1)
-                total += np.bincount(at[wanted[at] == hashed], minlength=len(wanted))
-                n += len(hashed)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int64()), pa.array([n, *total[some]], pa.int64())], names=["word", "n"])
-
-    rows = docs.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(len(wanted), np.int64)
-    known = rows[rows["word"] >= 0]
-    counts[known["word"]] = known["n"]
-    return counts, int(rows.loc[rows["word"] < 0, "n"].sum())
-
-
 def find(docs: DataFrame, ids: list[int], items: list[str], id_cols: list[str], text_col: str = "text") -> DataFrame:
     """Matches of each document with one block of items: the id columns and matches (item_id, score, first and last word).
 
-    The block, its word counts (a row per distinct word of the block) and its seeds are bounded by ITEM_BLOCK.
+    The block and its seeds are bounded by ITEM_BLOCK.
     """
     starts, hashed = _tokens(pa.array(items, pa.large_string()))
-    wanted = np.unique(hashed)
-    counts, n = word_counts(docs, wanted, text_col) if len(wanted) else (np.zeros(0, np.int64), 0)
     owner, grams = gram_hashes(starts, hashed, SEED, short=True)
     sizes = np.diff(starts)
     n_grams = np.maximum(sizes - SEED + 1, 0)
     place = np.arange(n_grams.sum()) - np.repeat(np.cumsum(n_grams) - n_grams, n_grams)
     place = np.concatenate((place, np.zeros(len(grams) - len(place), np.int64)))
-    frequency = np.log((counts[np.searchsorted(wanted, hashed)] + 1) / (n + 1)) if len(hashed) else np.zeros(0)
-    words_in = np.minimum(sizes[owner], SEED)
-    run_sum = np.concatenate(([0.0], np.cumsum(frequency)))
-    begin = starts[owner] + place
-    chance = run_sum[begin + words_in] - run_sum[begin] + np.log(n + 1)
-    # An item without a rare seed keeps its rarest one, so that every item can be found.
-    rare = chance < np.log(RARE)
-    if len(owner):
-        lowest = np.full(len(items), np.inf)
-        np.minimum.at(lowest, owner, chance)
-        rare |= chance <= lowest[owner]
-    order = np.argsort(grams[rare], kind="stable")
-    seed, seed_item, seed_at = grams[rare][order], owner[rare][order], place[rare][order]
+    order = np.argsort(grams, kind="stable")
+    seed, seed_item, seed_at = grams[order], owner[order], place[order]
     texts_of = [hashed[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
     shared = docs.sparkSession.sparkContext.broadcast((seed, seed_item, seed_at, texts_of, ids))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in id_cols), "matches array<struct<item_id:bigint,score:double,first:bigint,last:bigint>>"])
@@ -137,14 +103,30 @@ def _matches(texts: pa.Array, seed: np.ndarray, seed_item: np.ndarray, seed_at:
     hit = np.flatnonzero(high > low)
     if not len(hit):
         return out
+    hit = hit[np.argsort(owner[hit], kind="stable")]
     many = (high - low)[hit]
+    sizes = np.fromiter(map(len, items), np.int64, len(items))
+    # Hits of whole documents, so that regions stay whole, about HITS at a time.
+    ends = np.append(np.flatnonzero(np.diff(owner[hit])) + 1, len(hit))
+    upto, a = np.cumsum(many), 0
+    while a < len(hit):
+        base = upto[a - 1] if a else 0
+        z = int(ends[max(np.searchsorted(upto[ends - 1], base + HITS, side="right") - 1, np.searchsorted(ends, a, side="right"))])
+        _align(hit[a:z], many[a:z], low, owner, at, starts, hashed, seed_item, seed_at, items, sizes, ids, out)
+        a = z
+    for found in out:
+        found.sort(key=lambda m: m["item_id"])
+    return out
+
+
+def _align(hit, many, low, owner, at, starts, hashed, seed_item, seed_at, items, sizes, ids, out) -> None:
+    """Adds the matches that these hits of seeds lead to; hit: n-grams of the texts, many: seeds equal to each."""
     which = np.repeat(low[hit] - (np.cumsum(many) - many), many) + np.arange(many.sum())
     doc, item = np.repeat(owner[hit], many), seed_item[which]
     begin = np.repeat(at[hit], many) - seed_at[which]  # where the item would begin
     order = np.lexsort((begin, item, doc))
     doc, item, begin = doc[order], item[order], begin[order]
     # Hits of an item whose places lie within its length of each other are one region.
-    sizes = np.fromiter(map(len, items), np.int64, len(items))
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > sizes[item[1:]])
     for a, b in zip(np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(doc)), strict=True):
@@ -152,6 +134,9 @@ def _matches(texts: pa.Array, seed: np.ndarray, seed_item: np.ndarray, seed_at:
         pad = len(items[k]) // 2 + SEED
         first = max(int(begin[a]) - pad, 0)
         text = hashed[starts[d] + first : min(starts[d] + int(begin[b - 1]) + len(items[k]) + pad, starts[d + 1])]
+        # Each matching word of the item adds MATCH at most, so below this no alignment reaches SHARE.
+        if np.isin(items[k], text).sum() < SHARE * len(items[k]):
+            continue
         score, origin, end = local_alignment(items[k], text)
         score /= MATCH * len(items[k])
         if score >= SHARE:
@@ -160,9 +145,6 @@ def _matches(texts: pa.Array, seed: np.ndarray, seed_item: np.ndarray, seed_at:
                 out[d].append({"item_id": ids[k], "score": score, "first": first + origin, "last": first + end - 1})
             elif score > found["score"]:
                 found.update(score=score, first=first + origin, last=first + end - 1)
-    for found in out:
-        found.sort(key=lambda m: m["item_id"])
-    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_cols: list[str], text_col: str = "text", block: int = ITEM_BLOCK) -> DataFrame:
