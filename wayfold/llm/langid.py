@@ -6,8 +6,8 @@ vote by popcount per language; each count is corrected for the false positives t
 language with the largest corrected share wins.
 
 N-grams are taken inside words (lower case, with word marks), so distinct words are looked up once per batch. The
-filter learns from all training texts: counts are summed per language over the corpus, and the n-grams that a language
-has at least MIN_COUNT times enter, the GRAMS most frequent ones of each language at most (the size of the model).
+filter learns from all training texts: counts are summed per language over the corpus, and all n-grams that a language
+has at least MIN_COUNT times enter. The number of cells follows from the largest language's number of n-grams.
 
 Defined results: a text that is null or has no letter gives ``und`` and 0; a text whose n-grams are all unknown gives
 the language with the most training n-grams, with score 0; ties go to the first language in sorted order; training
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import mix, slices, table, words_of, written
 
-#: Lengths of n-grams in characters, n-grams per language at most, and how often one must occur in a language.
-LENGTHS, GRAMS, MIN_COUNT = (2, 3, 4), 60_000, 3
-#: Cells of the filter (a power of two) and hash functions.
-CELLS, HASHES = 1 << 21, 3
+#: Lengths of n-grams in characters, and how often one must occur in a language.
+LENGTHS, MIN_COUNT = (2, 3, 4), 3
+#: Cells of the filter at least (a power of two), cells for each n-gram of a language at least, and hash functions.
+CELLS, ROOM, HASHES = 1 << 21, 16, 3
 MARK = np.uint32(0x110000)
 
 
@@ -56,7 +56,7 @@ def grams_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Masks:
-    """Cells of language bits: one uint64 column for each 64 languages."""
+    """Cells of language bits: one column for each 64 languages, of the narrowest integers that hold them."""
 
     languages: list[str]
     cells: np.ndarray
@@ -66,22 +66,24 @@ class Masks:
     @classmethod
     def build(cls, grams: dict[str, np.ndarray], weights: dict[str, int]) -> Masks:
         languages = sorted(grams)
-        cells = np.zeros((CELLS, max(1, -(-len(languages) // 64))), np.uint64)
+        size = max(CELLS, 1 << (ROOM * max(map(len, grams.values()), default=0)).bit_length())
+        kind = next((t for t in (np.uint8, np.uint16, np.uint32) if len(languages) <= np.iinfo(t).bits), np.uint64)
+        cells = np.zeros((size, max(1, -(-len(languages) // 64))), kind)
         for k, lang in enumerate(languages):
-            for at in cls.places(grams[lang]):
-                np.bitwise_or.at(cells[:, k // 64], at, np.uint64(1) << np.uint64(k % 64))
-        fill = np.array([np.count_nonzero(cells[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)) / CELLS for k in range(len(languages))])
+            for at in cls.places(grams[lang], size):
+                cells[at, k // 64] |= kind(1 << k % 64)
+        fill = np.array([np.count_nonzero(cells[:, k // 64] & kind(1 << k % 64)) / size for k in range(len(languages))])
         order = sorted(range(len(languages)), key=lambda k: (-weights[languages[k]], languages[k]))
         return cls(languages, cells, fill**HASHES, order[0] if order else -1)
 
     @staticmethod
-    def places(h: np.ndarray) -> list[np.ndarray]:
-        return [(mix(h + np.uint64((k + 1) * 0xD1B54A32D192ED03 % 2**64)) & np.uint64(CELLS - 1)).astype(np.int64) for k in range(HASHES)]
+    def places(h: np.ndarray, size: int) -> list[np.ndarray]:
+        return [(mix(h + np.uint64((k + 1) * 0xD1B54A32D192ED03 % 2**64)) & np.uint64(size - 1)).astype(np.int64) for k in range(HASHES)]
 
     def languages_of(self, h: np.ndarray) -> np.ndarray:
         """The language bits of each n-gram."""
         out = None
-        for at in self.places(h):
+        for at in self.places(h, len(self.cells)):
             out = self.cells[at] if out is None else out & self.cells[at]
         return out
 
@@ -103,7 +105,7 @@ class Masks:
         grams = per_text(total)
         share = np.zeros((n, len(self.languages)))
         for k, rate in enumerate(self.false_rate):
-            hit = (bits[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)).astype(np.float64)
+            hit = (bits[:, k // 64] & self.cells.dtype.type(1 << k % 64) > 0).astype(np.float64)
             count = per_text(np.bincount(owner, hit, minlength=len(words)))
             share[:, k] = (count - rate * grams) / (max(1 - rate, 1e-9) * np.maximum(grams, 1))
         best = np.argmax(share, axis=1)
@@ -140,15 +142,15 @@ def learn(texts: DataFrame, lang_col: str = "lang", text_col: str = "text") -> M
     counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
     counts = written(counts, "langid-grams")
     weights = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    # The head of each language, one bounded top-k for each.
-    grams = {lang: counts.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(GRAMS).select("gram").toPandas()["gram"].to_numpy(np.int64).astype(np.uint64) for lang in sorted(weights)}
+    # All n-grams of a language at a time, 8 bytes each.
+    grams = {lang: counts.filter(F.col("lang") == lang).select("gram").toPandas()["gram"].to_numpy(np.int64).astype(np.uint64) for lang in sorted(weights)}
     return Masks.build(grams, weights)
 
 
 def identify(docs: DataFrame, model: Masks, columns: list[str], text_col: str = "text") -> DataFrame:
     """The given columns and lang_pred, score. Only the text enters the prediction."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # CELLS x 8 bytes for each 64 languages
+    shared = spark.sparkContext.broadcast(model)  # a byte for each cell and 8 languages, up to 64
     kept = [c for c in columns if c not in ("lang_pred", "score")]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "lang_pred string", "score double"])
 
