@@ -4,7 +4,7 @@ Each stage works on all rows that the one before it kept, and its decisions take
 columns of documents (doc_id, text, lang, source, n_chars); columns beyond these are dropped at the start of a stage.
 
 Defined results: a null text fails the quality rules; of rows with one id and text each copy is judged alone and one
-stays after near-dedup (see near_dedup); an empty table gives an empty result with the same columns.
+stays after near-dedup, and unlike texts stay whatever their ids (see near_dedup); an empty table gives an empty result with the same columns.
 """
 
 from __future__ import annotations
@@ -31,10 +31,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more): that with the least id.
 
-    Of rows that share that id, one row stays: that with the least hash of its text, and of equal rows one.
+    Groups go by text alone, so unlike texts stay whatever their ids. Of rows that share the least id, that with the least
+    hash of its text stays; a row without an id stays if no row of its group has one. Of equal rows one stays.
     """
     docs = docs.select(*COLUMNS)
-    verdict = near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.min(F.struct("rk1", "rk2")).alias("one")).select("one.*").distinct()
+    found = near_duplicates(docs)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk1", "rk2")).alias("one")
+    one = found.filter("component is not null").groupBy("component").agg(least).select("one.rk1", "one.rk2")
+    verdict = one.unionByName(found.filter("component is null").select("rk1", "rk2")).distinct()
     return docs.select("*", *row_key("doc_id", "text")).join(verdict, ["rk1", "rk2"], "left_semi").dropDuplicates(["rk1", "rk2"]).select(*COLUMNS)
 
 

@@ -13,8 +13,8 @@ out: a bucket of n members gives fewer than n links in each block pair, never n
 pair is confirmed in the bucket of the first band that it shares. Components come from the links.
 
 Defined results: a null or empty text has no shingles, is linked with nothing and kept; a text with fewer words than a
-shingle is one shingle; equal ids count as one document where links are concerned; a null id gives a null component and
-is never the one that stays if a copy has an id; an empty table gives no rows; other columns are ignored. Shingles are
+shingle is one shingle; unlike texts stay apart whatever their ids; a component is named by its least id, by null if no
+row has one; an empty table gives no rows; other columns are ignored. Shingles are
 compared by 64-bit hashes, sets by two of them.
 """
 
@@ -36,8 +36,6 @@ COORDINATES, ROWS, PERCENT, ALIKE = 100, 4, 85, 0.66
 BANDS = COORDINATES // ROWS
 #: Members of a bucket that are compared with each other in one block, and rows of a task that solves buckets, about.
 BLOCK, TASK_ROWS = 2000, 4000
-#: Ids from here on stand for classes of rows without an id.
-NO_ID = 1 << 62
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,18 +209,20 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> Da
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """A row per row of docs (doc_id, text): doc_id, rk1, rk2, n_shingles, component_id, kept."""
+    """A row per row of docs (doc_id, text): doc_id, rk1, rk2, n_shingles, component (null without shingles), component_id (its least id), kept."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_key("doc_id", "text"))
     found = written(features(keyed, shingle), "near-features")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk1", "rk2", "sketch")).alias("m")
     classes = found.filter("n_shingles > 0").groupBy("s1", "s2").agg(first)
-    cid = F.coalesce("m.doc_id", F.col("s1").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID)))
-    classes = written(classes.select("s1", "s2", cid.alias("cid"), "m.rk1", "m.rk2", "m.sketch"), "near-classes")
-    parts = connected_components(links(keyed, classes, shingle, percent))
-    of_class = classes.select("s1", "s2", "cid").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("s1", "s2", F.coalesce("component", "cid").alias("component"))
+    # A class goes by the digest of its set: unlike texts may share an id or have none.
+    classes = written(classes.select("s1", "s2", F.col("s1").alias("cid"), F.col("m.doc_id").alias("least"), "m.rk1", "m.rk2", "m.sketch"), "near-classes")
+    parts = connected_components(links(keyed, classes, shingle, percent)).withColumnRenamed("node", "cid")
+    low = parts.join(classes.select("cid", "least"), "cid").groupBy("component").agg(F.min("least").alias("low"))
+    of_class = classes.select("s1", "s2", "cid", "least").join(parts.join(low, "component"), "cid", "left")
+    of_class = of_class.select("s1", "s2", F.coalesce("component", "cid").alias("component"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("low")).alias("low"))
     out = found.select("doc_id", "rk1", "rk2", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("component") < NO_ID, F.col("component")))
-    out = out.select("doc_id", "rk1", "rk2", "n_shingles", component.alias("component_id"))
+    component_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("low"))
+    out = out.select("doc_id", "rk1", "rk2", "n_shingles", "component", component_id.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
