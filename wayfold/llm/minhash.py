@@ -8,7 +8,7 @@ shares no bucket with probability (1 - 0.85^4)^25, about 1e-8.
 
 Texts with equal shingle sets are one class from the start, so exact copies never meet. Buckets with the same members
 are one. The members of a bucket are compared by sketch, in blocks if they are many, pairs that may reach the threshold
-(five and more standard errors below it) are confirmed on the full sets, and only links that join what was apart come
+(down to ERRORS standard errors below it) are confirmed on the full sets, and only links that join what was apart come
 out: a bucket of n members gives fewer than n links in each block pair, never n squared, and no connection is lost. A
 pair is confirmed in the bucket of the first band that it shares. Components come from the links.
 
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from .common import binary_rows, gram_hashes, hashes_of, mix, row_key, slices, table, words_of, written
 
-#: Sketch size, rows of a band, similarity in percent, and least share of equal coordinates of a pair that is confirmed.
-COORDINATES, ROWS, PERCENT, ALIKE = 100, 4, 85, 0.66
+#: Sketch size, rows of a band, similarity in percent, and standard errors below it that a confirmed pair's sketches may be.
+COORDINATES, ROWS, PERCENT, ERRORS = 100, 4, 85, 5.5
 BANDS = COORDINATES // ROWS
 #: Members of a bucket that are compared with each other in one block, and rows of a task that solves buckets, about.
 BLOCK, TASK_ROWS = 2000, 4000
@@ -128,6 +128,7 @@ def links_in(cids: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], side:
     sizes = np.fromiter(map(len, sets), np.int64, n)
     quads = np.ascontiguousarray(sketch[:, : BANDS * ROWS]).view(np.uint64)
     mine = np.array([bands >> b & 1 for b in range(BANDS)], bool)
+    alike = COORDINATES * percent / 100 - ERRORS * np.sqrt(COORDINATES * percent / 100 * (1 - percent / 100))
     for x in range(n - 1):
         rest = np.arange(x + 1, n)
         root = joined.all()
@@ -135,7 +136,7 @@ def links_in(cids: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], side:
         ok &= (100 * np.minimum(sizes[rest], sizes[x]) >= percent * np.maximum(sizes[rest], sizes[x])) & (cids[rest] != cids[x])
         rest = rest[ok]
         if n > 2 and len(rest):
-            rest = rest[(sketch[rest] == sketch[x]).sum(axis=1) >= ALIKE * COORDINATES]
+            rest = rest[(sketch[rest] == sketch[x]).sum(axis=1) >= alike]
         if len(rest):
             same = quads[rest] == quads[x]
             rest = rest[mine[np.argmax(same, axis=1)] & same.any(axis=1)]
