@@ -2,6 +2,7 @@
 
 Each round points every node at the least node it knows, first over larger neighbours, then over smaller ones, until no
 edge changes. Components of any size work: only minima per node are aggregated, and they combine before the shuffle.
+Minima of nodes with many edges, of which there can only be few, are broadcast; the edges of such a node stay spread.
 """
 
 from __future__ import annotations
@@ -9,22 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import written
+from ..plans.joins import counted_join
+from ..plans.storage import forget, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, rows: int) -> DataFrame:
+    """The edges (src, dst) and low, the least dst of each src."""
+    least = edges.groupBy("src").agg(F.min("dst").alias("low"), F.count(F.lit(1)).alias("n"))
+    return counted_join(edges, least, ["src"], "n", rows, F.col("dst"))
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of the node's neighbours and the node itself."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
-    return both.join(least, "src").filter("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+    return _least(both, 2 * rows).filter("dst > src").select(F.col("dst").alias("src"), F.least("src", "low").alias("dst"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are tied to the least of the smaller neighbours."""
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = down.groupBy("src").agg(F.min("dst").alias("low"))
-    out = down.join(least, "src").select(F.explode(F.array(F.struct(F.col("src").alias("src"), F.col("low").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")))).alias("e"))
-    return out.select("e.*").filter("src != dst")
+    tied = F.array(F.struct(F.col("src").alias("src"), F.col("low").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")))
+    return _least(down, rows).select(F.explode(tied).alias("e")).select("e.*").filter("src != dst")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -32,14 +38,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Loops and edges with a null end are left out; repeated edges count once.
     """
+
+    def look(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst") % 1_000_003), F.sum(F.xxhash64("dst", "src") % 998_244_353)).first())
+
     now = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src != dst")
     now = written(now.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "components")
-    state = None
-    while True:
-        now = written(_small_star(_large_star(now)).distinct(), "components")
-        new = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst") % 1_000_003), F.sum(F.xxhash64("dst", "src") % 998_244_353)).first())
-        if new == state:
+    state = look(now)
+    while state[0]:
+        stars = written(_large_star(now, state[0]).distinct(), "components")
+        new = written(_small_star(stars, state[0]).distinct(), "components")
+        forget(now, stars)
+        before, state, now = state, look(new), new
+        if state == before:
             break
-        state = new
     roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots)
