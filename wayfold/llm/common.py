@@ -5,6 +5,10 @@ A word is ``[^\\x20\\x09-\\x0D]+`` everywhere; a null text has no words.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import shared_dir, written  # noqa: F401
+from ..plans.joins import counted_join  # noqa: F401
+from ..plans.storage import forget, shared_dir, written  # noqa: F401
 
 MIX1 = np.uint64(0xFF51AFD7ED558CCD)
 MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
@@ -23,6 +28,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give free memory of this worker back to the system: workers live on, and so would what one task has needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches, which releases memory at the end of its task."""
+
+    @wraps(run)
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidy
+
+
 def row_key(*cols: str):
     """128 bits that stand for a row's values, nulls told apart from any text; two long columns rk1 and rk2."""
     parts = [p for c in cols for p in (F.col(c).isNull(), F.col(c))]
