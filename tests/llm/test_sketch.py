@@ -13,7 +13,7 @@ def test_prefilter_follows_percent():
     sketch = np.tile(np.arange(100, dtype=np.uint16), (3, 1))
     for k in range(3):
         sketch[k, 60:] = 1000 * (k + 1) + np.arange(40)
-    found = minhash.links_in(np.arange(3), sketch, sets, np.full(3, 3), 1, 80)
+    found = minhash.links_in(np.arange(3), sketch, sets, np.full(3, 3), np.arange(3), 1, 80)
     assert len(found) == 2
 
 
