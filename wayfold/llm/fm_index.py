@@ -80,12 +80,13 @@ def _blocks(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class FMIndex:
     """Of many word sequences. Each is closed by a mark of its own, so no match runs from one into the next.
 
-    The intervals of all runs of SEED words that start in the index are kept from the suffix order.
+    A sequence may stand for several copies: occurrences are counted with its weight, so copies are indexed once. The
+    intervals of all runs of SEED words that start in the index are kept from the suffix order; searches begin with them.
     """
 
-    SEED = 32
+    SEED = 8
 
-    def __init__(self, words: np.ndarray, offsets: np.ndarray):
+    def __init__(self, words: np.ndarray, offsets: np.ndarray, weights: np.ndarray | None = None):
         sizes = np.diff(offsets)
         n_seq = len(sizes)
         self.alphabet, code = np.unique(words, return_inverse=True)
@@ -97,9 +98,12 @@ class FMIndex:
         text[inner] = code + n_seq
         self.n_seq, self.n = n_seq, len(text)
         sigma = n_seq + len(self.alphabet)
+        weights = np.ones(n_seq, np.int64) if weights is None else weights.astype(np.int64)
+        self.before = np.zeros(1, np.int64)
         if self.n:
             order, low, high = suffix_order(text, self.SEED)
             self.low, self.high = low[inner], high[inner]
+            self.before = np.concatenate(([0], np.cumsum(np.repeat(weights, sizes + 1)[order])))
         self.bwt = WaveletMatrix(text[order - 1], max(sigma, 2)) if self.n else None
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma)))) if self.n else np.zeros(1, np.int64)
 
@@ -121,9 +125,10 @@ class FMIndex:
         if own and longest >= self.SEED:
             done = self.SEED
             low, high = self.low[ends - done], self.high[ends - done]
-            ok = high - low >= least
+            found = self.before[high] - self.before[low]
+            ok = found >= least
             live, low, high = live[ok], low[ok], high[ok]
-            length[live], times[live] = done, high - low
+            length[live], times[live] = done, found[ok]
         for k in range(done, longest):
             if not len(live):
                 break
@@ -133,7 +138,8 @@ class FMIndex:
             live, low, high, symbol = live[ok], low[ok], high[ok], symbol[ok]
             first = self.first[symbol]
             low, high = first + self.bwt.rank(symbol, low), first + self.bwt.rank(symbol, high)
-            ok = high - low >= least
+            found = self.before[high] - self.before[low]
+            ok = found >= least
             live, low, high = live[ok], low[ok], high[ok]
-            length[live], times[live] = k + 1, high - low
+            length[live], times[live] = k + 1, found[ok]
         return length, times

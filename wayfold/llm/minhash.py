@@ -38,7 +38,7 @@ from .common import binary_rows, counted_join, gram_hashes, hashes_of, lean, mix
 COORDINATES, ROWS, PERCENT, ERRORS = 100, 4, 85, 5.5
 BANDS = COORDINATES // ROWS
 #: Rows that are compared with one centre in a group, members of a block, and bytes of sets in either, about.
-STAR, BLOCK, GROUP_BYTES = 500, 2000, 8 << 20
+STAR, BLOCK, GROUP_BYTES = 500, 1000, 8 << 20
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:

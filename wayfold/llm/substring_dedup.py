@@ -4,16 +4,18 @@ An FM-index of the whole corpus doesn't fit one machine, and searching every doc
 square of the corpus. So text is dealt to shards by content: each window belongs to its minimizer, the least hash among
 its SEED-word runs, and equal windows have equal minimizers. Neighbouring windows with one minimizer place form a
 segment, which goes to the shard of its minimizer once, however many copies of it there are. In each shard a compressed
-FM-index (wavelet matrix) of its segments is built, the segments are streamed through it, and backward search gives
-their matching statistics; windows whose statistics reach WINDOW words at two places or more are repeated. Segments whose minimizer occurs once in the corpus can't hold a repeated window and stay out.
+FM-index (wavelet matrix) of its segments is built, in which a segment counts as often as it has copies. The segments are
+streamed through it, backward search gives their matching statistics, and the intervals whose statistics reach WINDOW
+words at two places or more are reported. Segments whose minimizer occurs once in the corpus can't hold a repeated window
+and stay out.
 
 A shard holds SHARD_WORDS words, about. A minimizer with more than HOT kinds of segments is dealt by window instead: its
 windows, one by one and grouped by content, are pieces that go to the shards of their own hashes, so no shard grows with
-a frequent passage. A piece with copies enters its index twice, which is all that "two places or more" asks.
+a frequent passage. What has many copies is broadcast where it is joined, so no passage is a hot key.
 
 Defined results: a null or empty text has no words and nothing removed; copies of a whole document remove all its windows
 in each copy; texts under WINDOW words stay whole; equal ids and repeated rows each give a row and count as different
-places; an empty table gives no rows; other columns are ignored. Equality of segments is by two 64-bit hashes, of words
+places; very long texts are cut like others; an empty table gives no rows; other columns are ignored. Equality of segments is by two 64-bit hashes, of words
 inside the index by one.
 """
 
@@ -29,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, hashes_of, mix, row_key, slices, table, words_of, written
+from .common import ODD, counted_join, hashes_of, lean, mix, row_key, slices, table, words_of, written
 from .fm_index import FMIndex
 
 #: Words of a window, words whose hash may be a minimizer, words of a shard, and segments from which a minimizer is hot.
@@ -103,6 +105,7 @@ SEGMENTS = "rk1 long, rk2 long, first int, windows short, mini long, h1 long"
 def minimizer_counts(docs: DataFrame) -> DataFrame:
     """mini, n: segments of each minimizer that has two or more. Each task adds up its own first."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PART):
@@ -117,6 +120,7 @@ def minimizer_counts(docs: DataFrame) -> DataFrame:
 def all_segments(docs: DataFrame) -> DataFrame:
     """Segments of every document (columns text, rk1, rk2)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PART):
@@ -134,6 +138,7 @@ def pack_texts(docs: DataFrame, *keep: str) -> DataFrame:
     """The kept columns and the text as a compressed cell, packed: what is shuffled when texts are joined."""
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "packed binary"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(3).compress
         for batch in batches:
@@ -161,6 +166,7 @@ def cut_pieces(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     listed = wanted.groupBy("rk1", "rk2").agg(F.collect_list(F.struct("first", "windows", "mini", "h1", "copies", "hot")).alias("wanted"))
     texts = pack_texts(docs, "rk1", "rk2").join(listed, ["rk1", "rk2"]).select("packed", "wanted")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in unpack_batches(batches):
             starts, code, words = words_of(part.column(0))
@@ -188,51 +194,70 @@ def cut_pieces(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key long, h1 long, copies long, words binary")
 
 
+#: An interval of a segment: its first window, and how many windows in a row are repeated.
+SPAN = np.dtype([("first", "<i4"), ("windows", "<i4")])
+
+
+def intervals(marks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of marks within each piece (sizes: windows of each): the piece of each run, and the runs as SPAN."""
+    piece = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(marks)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    begin = marks & np.concatenate(([True], ~marks[:-1] | (piece[1:] != piece[:-1]))) if len(marks) else marks
+    rows = np.flatnonzero(begin)
+    out = np.zeros(len(rows), SPAN)
+    run = np.cumsum(begin)[marks] - 1
+    out["first"], out["windows"] = at[rows], np.bincount(run, minlength=len(rows))
+    return piece[rows], out
+
+
 def repeated(pieces: DataFrame, shards: int) -> DataFrame:
-    """Windows of each piece that stand at two places of its shard's index: h1, marks (a byte per window)."""
+    """Intervals of each piece whose windows stand at two places or more: h1, copies, spans (see SPAN)."""
 
     def run(tbl: pa.Table) -> pa.Table:
         # Windows of hot minimizers come from several tasks: equal ones are one piece.
         h1, pick, back = np.unique(tbl.column("h1").to_numpy(), return_index=True, return_inverse=True)
-        copies = np.bincount(back, tbl.column("copies").to_numpy())
+        copies = np.bincount(back, tbl.column("copies").to_numpy()).astype(np.int64)
         cells = tbl.column("words").take(pa.array(pick)).to_pylist()
-        twice = [c for c, n in zip(cells, copies, strict=True) if n > 1]
-        words = np.frombuffer(b"".join(cells + twice), np.uint64)
-        sizes = np.fromiter((len(c) // 8 for c in cells + twice), np.int64, len(cells) + len(twice))
+        words = np.frombuffer(b"".join(cells), np.uint64)
+        sizes = np.fromiter((len(c) // 8 for c in cells), np.int64, len(cells))
+        del cells
         offsets = np.concatenate(([0], np.cumsum(sizes)))
-        index = FMIndex(words, offsets)
-        n_win = sizes[: len(cells)] - WINDOW + 1
+        index = FMIndex(words, offsets, copies)
+        n_win = sizes - WINDOW + 1
         to = np.cumsum(n_win)
-        ends = np.repeat(offsets[: len(cells)] + WINDOW - (to - n_win), n_win) + np.arange(n_win.sum())
+        ends = np.repeat(offsets[:-1] + WINDOW - (to - n_win), n_win) + np.arange(n_win.sum())
         length, _ = index.statistics(words, ends, WINDOW, own=True)
-        marks = (length >= WINDOW).astype(np.uint8)
-        rows = np.flatnonzero(np.add.reduceat(marks, to - n_win, dtype=np.int64)) if len(marks) else np.zeros(0, np.int64)
-        return pa.table({"h1": pa.array(h1[rows], pa.int64()), "marks": pa.array([marks[to[r] - n_win[r] : to[r]].tobytes() for r in rows], pa.binary())})
+        piece, spans = intervals(length >= WINDOW, n_win)
+        rows, first = np.unique(piece, return_index=True)
+        bounds = np.append(first, len(spans))
+        return pa.table({"h1": pa.array(h1[rows], pa.int64()), "copies": pa.array(copies[rows], pa.int64()), "spans": pa.array([spans[a:z].tobytes() for a, z in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
 
-    return pieces.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(run, "h1 long, marks binary")
+    return pieces.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(run, "h1 long, copies long, spans binary")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """rk1, rk2, first, windows, marks of every segment with repeated windows (columns of docs: text, rk1, rk2).
-
-    Null marks: all windows of the segment are repeated.
-    """
+    """rk1, rk2, first, spans of every segment with repeated windows (columns of docs: text, rk1, rk2)."""
     often = written(minimizer_counts(docs), "dedup-minimizers")
-    some = written(all_segments(docs).join(often.select("mini"), "mini"), "dedup-segments").select("rk1", "rk2", "first", "windows", "mini", "h1")
+    n_some = often.agg(F.sum("n")).first()[0] or 0
+    place = F.struct("rk1", "rk2", "first")
+    some = written(counted_join(all_segments(docs), often, ["mini"], "n", n_some, place), "dedup-segments")
     kinds = written(some.groupBy("mini", "h1").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rk1", "rk2", "first", "windows")).alias("at")), "dedup-kinds")
-    minis = written(kinds.groupBy("mini").agg(F.count(F.lit(1)).alias("kinds")).select("mini", "kinds", (F.col("kinds") > HOT).alias("hot")), "dedup-kinds-of")
-    cold = kinds.join(minis.filter("kinds > 1 and not hot").select("mini"), "mini", "left_semi").select("at.*", "mini", "h1", "copies", F.lit(False).alias("hot"))
-    hot = some.join(minis.filter("hot").select("mini"), "mini", "left_semi").select("rk1", "rk2", "first", "windows", "mini", "h1", F.lit(1).cast("long").alias("copies"), F.lit(True).alias("hot"))
-    hot = written(hot, "dedup-hot")
-    pieces = cold.unionByName(hot)
-    n_words = pieces.agg(F.sum(F.when(F.col("hot"), F.col("windows") * WINDOW).otherwise((F.col("windows") + WINDOW - 1) * F.least("copies", F.lit(2))))).first()[0] or 0
+    minis = kinds.groupBy("mini").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("n"))
+    heavy = written(minis.filter(F.col("kinds") > HOT), "dedup-hot-minimizers")
+    n_kinds = heavy.agg(F.sum("kinds")).first()[0]
+    cold = kinds.select("at.*", "mini", "h1", "copies", F.lit(False).alias("hot"))
+    hot = None
+    if n_kinds:
+        cold = cold.join(heavy.select("mini"), "mini", "left_anti").select(cold.columns)
+        hot = counted_join(some, heavy.select("mini", "n"), ["mini"], "n", heavy.agg(F.sum("n")).first()[0], place)
+        hot = written(hot.select("rk1", "rk2", "first", "windows", "mini", "h1", F.lit(1).cast("long").alias("copies"), F.lit(True).alias("hot")), "dedup-hot")
+    pieces = cold if hot is None else cold.unionByName(hot)
+    n_words = pieces.agg(F.sum(F.when(F.col("hot"), F.col("windows") * WINDOW).otherwise(F.col("windows") + WINDOW - 1))).first()[0] or 0
     marks = written(repeated(cut_pieces(pieces, docs), int(n_words // SHARD_WORDS) + 1), "dedup-marks")
-    # Exact copies of one kind of segment are collapsed before the index: where nothing else has their minimizer, they repeat as a whole.
-    whole = some.join(minis.filter("kinds = 1").select("mini"), "mini", "left_semi").select("rk1", "rk2", "first", "windows", F.lit(None).cast("binary").alias("marks"))
-    found = some.join(marks, "h1").select("rk1", "rk2", "first", "windows", "marks").unionByName(whole)
-    if hot.isEmpty():
+    found = counted_join(some, marks, ["h1"], "copies", n_some, place).select("rk1", "rk2", "first", "spans")
+    if hot is None:
         return found
-    return found.unionByName(hot_windows(hot, docs).join(marks, "h1").select("rk1", "rk2", "first", F.lit(1).cast("short").alias("windows"), "marks"))
+    return found.unionByName(counted_join(hot_windows(hot, docs), marks, ["h1"], "copies", n_some, place).select("rk1", "rk2", "first", "spans"))
 
 
 def hot_windows(hot: DataFrame, docs: DataFrame) -> DataFrame:
@@ -240,6 +265,7 @@ def hot_windows(hot: DataFrame, docs: DataFrame) -> DataFrame:
     listed = hot.groupBy("rk1", "rk2").agg(F.collect_list(F.struct("first", "windows")).alias("wanted"))
     texts = pack_texts(docs, "rk1", "rk2").join(listed, ["rk1", "rk2"]).select("packed", "rk1", "rk2", "wanted")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in unpack_batches(batches):
             starts, code, words = words_of(part.column(0))
@@ -260,13 +286,14 @@ def substring_dedup(docs: DataFrame, columns: list[str], text_col: str = "text",
     keyed = docs.select("*", *row_key(*dict.fromkeys([*(["doc_id"] if "doc_id" in docs.columns else []), text_col])))
     once = keyed.select(F.col(text_col).alias("text"), "rk1", "rk2")
     found = repeated_windows(once)
-    per_doc = found.groupBy("rk1", "rk2").agg(F.collect_list(F.struct("first", "windows", "marks")).alias("hits"))
+    per_doc = found.groupBy("rk1", "rk2").agg(F.collect_list(F.struct("first", "spans")).alias("hits"))
     kept = [c for c in columns if c not in ("n_words", "n_removed", "kept_sha256", "spans", "kept_text")]
     packed = pack_texts(keyed.select(F.col(text_col).alias("text"), *kept, "rk1", "rk2"), *kept, "rk1", "rk2")
     joined = packed.join(per_doc, ["rk1", "rk2"], "left").select("packed", "hits", *kept)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "n_words long, n_removed long, kept_sha256 string, spans array<struct<first:bigint,words:bigint>>", *["kept_text string"] * keep_text])
     span = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in unpack_batches(batches):
             texts = part.column(0).to_pylist()
@@ -297,14 +324,11 @@ def _covered(starts: np.ndarray, hits: pa.Array) -> np.ndarray:
     flat = hits.flatten()
     edge = np.zeros(int(starts[-1]) + 1, np.int64)
     if len(flat):
-        first, windows = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
-        begin = np.repeat(starts[:-1], sizes) + first
-        cells = flat.field(2).to_pylist()
-        bits = np.frombuffer(b"".join(b"\x01" * int(n) if c is None else c for c, n in zip(cells, windows, strict=True)), np.uint8)
-        at = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-        at = at[bits > 0]
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + WINDOW, -1)
+        cells = flat.field(1).to_pylist()
+        spans = np.frombuffer(b"".join(cells), SPAN)
+        of = np.repeat(np.repeat(starts[:-1], sizes) + flat.field(0).to_numpy(zero_copy_only=False), [len(c) // SPAN.itemsize for c in cells])
+        np.add.at(edge, of + spans["first"], 1)
+        np.add.at(edge, of + spans["first"] + spans["windows"] + WINDOW - 1, -1)
     return np.cumsum(edge)[:-1] > 0
 
 
