@@ -246,8 +246,8 @@ def test_decontaminate(spark):
         edited[k] = "changed"
     rows = [(1, prose(50, 50) + " " + items[0][1] + " " + prose(20, 51)), (2, " ".join(edited)), (3, prose(80, 52)), (4, None), (5, ""), (6, items[1][1].upper() + "\n" + items[3][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("contaminated", F.lit("x"))
-    for block in (5000, 3):
-        out = {r["doc_id"]: [m["item_id"] for m in r["matches"]] for r in decontaminate.contamination(docs.select("doc_id", "text"), bench, ["doc_id"], block=block).collect()}
+    for block in (1 << 20, 300):
+        out = {r["doc_id"]: [m["item_id"] for m in r["matches"]] for r in decontaminate.contamination(docs.select("doc_id", "text"), bench, ["doc_id"], block_bytes=block).collect()}
         assert out == {1: [0], 2: [2], 3: [], 4: [], 5: [], 6: [1, 3]}
     assert not any(r["contaminated"] for r in decontaminate.contamination(docs.select("doc_id", "text"), bench.limit(0), ["doc_id"]).collect())
 

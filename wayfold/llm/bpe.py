@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import lean, slices, table
 
 #: Characters of a piece from which on it is encoded as a tree, and characters of a leaf.
 LONG, LEAF = 8192, 4096
@@ -243,6 +243,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     fields = docs.schema
     schema = f"{id_col} {fields[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder.of(vocabulary), Decoder.of(vocabulary)
         for batch in batches:

@@ -1,32 +1,37 @@
-"""Benchmark decontamination: n-gram seeds join documents to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: rare n-gram seeds join documents to test items, Smith-Waterman alignment scores them.
 
-A seed is a run of SEED words of an item; every run is one, however common its words are in the corpus, so an edit costs
-only the seeds that hold it and the choice does not depend on the size of the corpus. A document that shares a seed with
-an item is aligned with it, words as letters, around the places where seeds match, unless too few of the item's words
-stand there for any alignment to reach SHARE; the score is the alignment score over that of the item with itself, so
-edited and paraphrased copies score high and chance matches low.
+A seed is a run of SEED words of an item. How often each occurs in the documents is counted, and of every STRETCH
+neighbouring seeds of an item the rarest stays: any SEED + STRETCH - 1 words in a row that a copy leaves unedited hold a
+kept seed, however large the corpus and however common its words are. A document that shares a seed with an item is
+aligned with it, words as letters, around the places where seeds match, unless too few of the item's words stand there
+for any alignment to reach SHARE; the score is the alignment score over that of the item with itself, so edited and
+paraphrased copies score high and chance matches low.
 
-Items are taken in blocks of ITEM_BLOCK, each block one pass over the documents: memory is bounded for any benchmark,
-and every document meets every item. Items shorter than a seed are one seed as a whole.
+Items are taken in blocks of BLOCK_BYTES of text, kept as files in the shared folder; a task reads one block after the
+other for each batch of documents, so memory is bounded for any benchmark, every document meets every item in one pass,
+and no rows are joined or shuffled. Items shorter than a seed are one seed as a whole.
 
-Defined results: null or empty texts and items match nothing; matching folds A-Z and drops punctuation at the ends of
-words; equal items are each reported; repeated documents each give a row; an empty benchmark contaminates nothing; an
-empty table gives no rows; other columns are ignored.
+Defined results: null or empty texts and items, and items without an id, match nothing; matching folds A-Z and drops
+punctuation at the ends of words; equal items of different ids are each reported, repeated item rows once; repeated
+documents each give a row; very long texts are searched whole; of id columns named contaminated or matches the result's
+own stay; an empty benchmark contaminates nothing; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, hashes_of, slices, table, words_of
+from .common import gram_hashes, hashes_of, lean, shared_dir, slices, table, words_of, written
 
-#: Words of a seed, items in a block, and seed hits that are looked at together.
-SEED, ITEM_BLOCK, HITS = 3, 5_000, 1 << 20
+#: Words of a seed, neighbouring seeds of which the rarest stays, bytes of items in a block, and seed hits that are looked at together.
+SEED, STRETCH, BLOCK_BYTES, HITS = 3, 2, 16 << 20, 1 << 20
 #: Scores of an alignment: equal words, different words, a word left out or put in; and the share that makes a match.
 MATCH, MISMATCH, GAP, SHARE = 2, -1, -1, 0.5
 _EDGE = " ,.;:!?\"'()[]{}|#*$%&<>-_"
@@ -39,6 +44,14 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return starts, hashes_of(bare)[code] if len(code) else np.zeros(0, np.uint64)
 
 
+def _grams(starts: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of texts: text, hash, and place in the text."""
+    owner, grams = gram_hashes(starts, hashed, SEED, short=True)
+    n = np.maximum(np.diff(starts) - SEED + 1, 0)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return owner, grams, np.concatenate((at, np.zeros(len(grams) - len(at), np.int64)))
+
+
 def local_alignment(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Best Smith-Waterman score of two word sequences, and where it ends and begins in the text.
 
@@ -64,108 +77,190 @@ def local_alignment(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best, first, end
 
 
-def find(docs: DataFrame, ids: list[int], items: list[str], id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """Matches of each document with one block of items: the id columns and matches (item_id, score, first and last word).
+def rarest(owner: np.ndarray, at: np.ndarray, rank: np.ndarray, stretch: int) -> np.ndarray:
+    """Which seeds stay: of every `stretch` neighbours in an item that of the least rank, the first of equals; all of an item with fewer."""
+    order = np.lexsort((at, owner))
+    item, value = owner[order], rank[order]
+    size = np.bincount(item)[item] if len(item) else item
+    keep = size < stretch
+    for a in range(max(len(item) - stretch + 1, 0)):
+        if item[a] == item[a + stretch - 1]:
+            keep[a + int(np.argmin(value[a : a + stretch]))] = True
+    out = np.zeros(len(owner), bool)
+    out[order] = keep
+    return out
+
+
+class Items:
+    """A block of items: ids, words of each, and seeds sorted by hash (seed, its item, its place there)."""
+
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, words: np.ndarray, seed: np.ndarray, seed_item: np.ndarray, seed_at: np.ndarray):
+        self.ids, self.starts, self.words, self.seed, self.seed_item, self.seed_at = ids, starts, words, seed, seed_item, seed_at
+        self.sizes = np.diff(starts)
+
+    @classmethod
+    def of(cls, ids: list[int], texts: list[str]) -> Items:
+        starts, words = _tokens(pa.array(texts, pa.large_string()))
+        owner, grams, at = _grams(starts, words)
+        order = np.argsort(grams, kind="stable")
+        return cls(np.array(ids, np.int64), starts, words, grams[order], owner[order], at[order])
+
+    def thinned(self, kinds: np.ndarray, counts: np.ndarray, stretch: int) -> Items:
+        """Without seeds that have a rarer neighbour. kinds, counts: sorted seeds, and how often the documents have them."""
+        n = counts[np.searchsorted(kinds, self.seed)] if len(kinds) else np.zeros(len(self.seed), np.int64)
+        keep = rarest(self.seed_item, self.seed_at, n, stretch)
+        return Items(self.ids, self.starts, self.words, self.seed[keep], self.seed_item[keep], self.seed_at[keep])
+
+    def text(self, k: int) -> np.ndarray:
+        return self.words[self.starts[k] : self.starts[k + 1]]
+
+    def save(self, uri: str, name: str) -> None:
+        out = io.BytesIO()
+        np.savez(out, ids=self.ids, starts=self.starts, words=self.words, seed=self.seed, seed_item=self.seed_item, seed_at=self.seed_at)
+        fs, path = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(path)
+        with fs.open_output_stream(f"{path}/{name}") as to:
+            to.write(out.getvalue())
+
+    @classmethod
+    def load(cls, uri: str, name: str) -> Items:
+        fs, path = pafs.FileSystem.from_uri(uri)
+        with fs.open_input_stream(f"{path}/{name}") as src:
+            return cls(**np.load(io.BytesIO(src.read())))
 
-    The block and its seeds are bounded by ITEM_BLOCK.
-    """
-    starts, hashed = _tokens(pa.array(items, pa.large_string()))
-    owner, grams = gram_hashes(starts, hashed, SEED, short=True)
-    sizes = np.diff(starts)
-    n_grams = np.maximum(sizes - SEED + 1, 0)
-    place = np.arange(n_grams.sum()) - np.repeat(np.cumsum(n_grams) - n_grams, n_grams)
-    place = np.concatenate((place, np.zeros(len(grams) - len(place), np.int64)))
-    order = np.argsort(grams, kind="stable")
-    seed, seed_item, seed_at = grams[order], owner[order], place[order]
-    texts_of = [hashed[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    shared = docs.sparkSession.sparkContext.broadcast((seed, seed_item, seed_at, texts_of, ids))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in id_cols), "matches array<struct<item_id:bigint,score:double,first:bigint,last:bigint>>"])
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first", pa.int64()), ("last", pa.int64())]))
 
+def _blocks(uri: str, names: list[str]):
+    """A function that gives the blocks one by one; a lone block is read once."""
+    kept: list[Items] = []
+
+    def each() -> Iterator[Items]:
+        if len(names) == 1:
+            kept or kept.append(Items.load(uri, names[0]))
+            yield kept[0]
+        else:
+            for name in names:
+                yield Items.load(uri, name)
+
+    return each
+
+
+def seed_counts(texts: DataFrame, uri: str, names: list[str]) -> DataFrame:
+    """block, seed, n: how often the texts (column read_text) have each seed, by its number among the sorted seeds of its block."""
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _blocks(uri, names)
         for batch in batches:
+            grams, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for part in slices(batch, "read_text"):
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(_matches(part.column(0), *shared.value), kind)], names=[*id_cols, "matches"])
+                kinds, times = np.unique(_grams(*_tokens(part.column(0)))[1], return_counts=True)
+                grams.append(kinds)
+                n.append(times)
+            grams, n = np.concatenate(grams), np.concatenate(n)
+            for k, items in enumerate(blocks()):
+                kinds = np.unique(items.seed)
+                if len(kinds) and len(grams):
+                    at = np.minimum(np.searchsorted(kinds, grams), len(kinds) - 1)
+                    same = kinds[at] == grams
+                    total = np.bincount(at[same], n[same], len(kinds)).astype(np.int64)
+                    some = np.flatnonzero(total)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(some), pa.array(total[some])], names=["block", "seed", "n"])
 
-    return docs.select(F.col(text_col).alias("read_text"), *id_cols).mapInArrow(run, schema)
+    return written(texts.mapInArrow(run, "block long, seed long, n long").groupBy("block", "seed").agg(F.sum("n").alias("n")), "bench-seeds")
 
 
-def _matches(texts: pa.Array, seed: np.ndarray, seed_item: np.ndarray, seed_at: np.ndarray, items: list[np.ndarray], ids: list[int]) -> list[list[dict]]:
-    starts, hashed = _tokens(texts)
-    out: list[list[dict]] = [[] for _ in range(len(texts))]
-    if not len(seed) or not len(hashed):
-        return out
-    owner, grams = gram_hashes(starts, hashed, SEED, short=True)
-    n_grams = np.maximum(np.diff(starts) - SEED + 1, 0)
-    at = np.arange(n_grams.sum()) - np.repeat(np.cumsum(n_grams) - n_grams, n_grams)
-    at = np.concatenate((at, np.zeros(len(grams) - len(at), np.int64)))
-    low, high = np.searchsorted(seed, grams, "left"), np.searchsorted(seed, grams, "right")
+def _matches(texts: tuple[np.ndarray, np.ndarray], items: Items, out: list[list[dict]]) -> None:
+    """Adds the matches of texts (offsets, word hashes) with a block of items to out."""
+    starts, hashed = texts
+    if not len(items.seed) or not len(hashed):
+        return
+    owner, grams, at = _grams(starts, hashed)
+    low, high = np.searchsorted(items.seed, grams, "left"), np.searchsorted(items.seed, grams, "right")
     hit = np.flatnonzero(high > low)
     if not len(hit):
-        return out
+        return
     hit = hit[np.argsort(owner[hit], kind="stable")]
     many = (high - low)[hit]
-    sizes = np.fromiter(map(len, items), np.int64, len(items))
     # Hits of whole documents, so that regions stay whole, about HITS at a time.
     ends = np.append(np.flatnonzero(np.diff(owner[hit])) + 1, len(hit))
     upto, a = np.cumsum(many), 0
     while a < len(hit):
         base = upto[a - 1] if a else 0
         z = int(ends[max(np.searchsorted(upto[ends - 1], base + HITS, side="right") - 1, np.searchsorted(ends, a, side="right"))])
-        _align(hit[a:z], many[a:z], low, owner, at, starts, hashed, seed_item, seed_at, items, sizes, ids, out)
+        _align(hit[a:z], many[a:z], low, owner, at, starts, hashed, items, out)
         a = z
-    for found in out:
-        found.sort(key=lambda m: m["item_id"])
-    return out
 
 
-def _align(hit, many, low, owner, at, starts, hashed, seed_item, seed_at, items, sizes, ids, out) -> None:
+def _align(hit, many, low, owner, at, starts, hashed, items: Items, out) -> None:
     """Adds the matches that these hits of seeds lead to; hit: n-grams of the texts, many: seeds equal to each."""
     which = np.repeat(low[hit] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    doc, item = np.repeat(owner[hit], many), seed_item[which]
-    begin = np.repeat(at[hit], many) - seed_at[which]  # where the item would begin
+    doc, item = np.repeat(owner[hit], many), items.seed_item[which]
+    begin = np.repeat(at[hit], many) - items.seed_at[which]  # where the item would begin
     order = np.lexsort((begin, item, doc))
     doc, item, begin = doc[order], item[order], begin[order]
     # Hits of an item whose places lie within its length of each other are one region.
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > sizes[item[1:]])
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > items.sizes[item[1:]])
     for a, b in zip(np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(doc)), strict=True):
         d, k = int(doc[a]), int(item[a])
-        pad = len(items[k]) // 2 + SEED
+        own, name = items.text(k), int(items.ids[k])
+        pad = len(own) // 2 + SEED
         first = max(int(begin[a]) - pad, 0)
-        text = hashed[starts[d] + first : min(starts[d] + int(begin[b - 1]) + len(items[k]) + pad, starts[d + 1])]
+        text = hashed[starts[d] + first : min(starts[d] + int(begin[b - 1]) + len(own) + pad, starts[d + 1])]
         # Each matching word of the item adds MATCH at most, so below this no alignment reaches SHARE.
-        if np.isin(items[k], text).sum() < SHARE * len(items[k]):
+        if np.isin(own, text).sum() < SHARE * len(own):
             continue
-        score, origin, end = local_alignment(items[k], text)
-        score /= MATCH * len(items[k])
+        score, origin, end = local_alignment(own, text)
+        score /= MATCH * len(own)
         if score >= SHARE:
-            found = next((m for m in out[d] if m["item_id"] == ids[k]), None)
+            found = next((m for m in out[d] if m["item_id"] == name), None)
             if found is None:
-                out[d].append({"item_id": ids[k], "score": score, "first": first + origin, "last": first + end - 1})
+                out[d].append({"item_id": name, "score": score, "first": first + origin, "last": first + end - 1})
             elif score > found["score"]:
                 found.update(score=score, first=first + origin, last=first + end - 1)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_cols: list[str], text_col: str = "text", block: int = ITEM_BLOCK) -> DataFrame:
-    """A row per document: the given columns, contaminated, matches.
+def contamination(docs: DataFrame, benchmark: DataFrame, id_cols: list[str], text_col: str = "text", block_bytes: int = BLOCK_BYTES, stretch: int = STRETCH) -> DataFrame:
+    """A row per document: the given columns, contaminated, matches (item_id, score, first and last word; by item_id)."""
+    spark = docs.sparkSession
+    rows = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    n_blocks = max(1, -(-size // block_bytes))
+    uri, names = shared_dir(spark, "bench-items"), [f"{k:06d}.npz" for k in range(n_blocks)]
+    texts = docs.select(F.col(text_col).alias("read_text"))
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
+    for k, name in enumerate(names):
+        # Blocks by hash of the row, of bounded size; each comes to the driver alone.
+        own = sorted((r["item_id"], r["text"]) for r in blocks.filter(F.col("block") == k).collect())
+        Items.of([i for i, _ in own], [t for _, t in own]).save(uri, f"all-{name}")
+    counted = seed_counts(texts, uri, [f"all-{name}" for name in names])
+    for k, name in enumerate(names):
+        items = Items.load(uri, f"all-{name}")
+        kinds = np.unique(items.seed)
+        found, n = counted.filter(F.col("block") == k).toPandas(), np.zeros(len(kinds), np.int64)
+        n[found["seed"]] = found["n"]
+        items.thinned(kinds, n, stretch).save(uri, name)
+    kept = [c for c in id_cols if c not in ("contaminated", "matches")]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "matches array<struct<item_id:bigint,score:double,first:bigint,last:bigint>>"])
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first", pa.int64()), ("last", pa.int64())]))
 
-    Further blocks go over the result of those before, one pass each, so no rows are joined.
-    """
-    rows = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
-    n = rows.count()
-    # Blocks by hash of the row; each comes to the driver alone.
-    n_blocks = max(1, -(-n // block))
-    out = None
-    keep = [c for c in docs.columns if c not in ("matches", "more_matches")]
-    for k in range(n_blocks):
-        own = sorted((r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect())
-        if out is None:
-            out = find(docs, [i for i, _ in own], [t for _, t in own], keep if n_blocks > 1 else id_cols, text_col)
-        else:
-            more = find(out.withColumnRenamed("matches", "more_matches"), [i for i, _ in own], [t for _, t in own], [*keep, "more_matches"], text_col)
-            out = more.withColumn("matches", F.array_sort(F.concat("more_matches", "matches"))).drop("more_matches")
-    return out.select(*id_cols, (F.size("matches") > 0).alias("contaminated"), "matches")
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _blocks(uri, names)
+        for batch in batches:
+            parts = list(slices(batch, "read_text"))
+            read = [_tokens(part.column(0)) for part in parts]
+            found: list[list[list[dict]]] = [[[] for _ in range(part.num_rows)] for part in parts]
+            for items in blocks():
+                for words, out in zip(read, found, strict=True):
+                    _matches(words, items, out)
+            for part, out in zip(parts, found, strict=True):
+                for one in out:
+                    one.sort(key=lambda m: m["item_id"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(out, kind)], names=[*kept, "matches"])
+
+    found = docs.select(F.col(text_col).alias("read_text"), *kept).mapInArrow(run, schema)
+    return found.select(*kept, (F.size("matches") > 0).alias("contaminated"), "matches")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, slices, table, words_of, written
+from .common import lean, mix, slices, table, words_of, written
 
 #: Lengths of n-grams in characters, and how often one must occur in a language.
 LENGTHS, MIN_COUNT = (2, 3, 4), 3
@@ -118,6 +118,7 @@ class Masks:
 def learn(texts: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Masks:
     """The filter from all rows with a text and a language. N-grams are counted within each task before they are shuffled."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
@@ -154,6 +155,7 @@ def identify(docs: DataFrame, model: Masks, columns: list[str], text_col: str =
     kept = [c for c in columns if c not in ("lang_pred", "score")]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "lang_pred string", "score double"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "read_text"):

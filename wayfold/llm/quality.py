@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, hashes_of, slices, table, words_of
+from .common import gram_hashes, hashes_of, lean, slices, table, words_of
 
 #: Labelled rows that the trees are grown on, at most; a bound on memory of the driver, not on what is scored.
 TRAIN_ROWS = 20_000
@@ -176,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
     """Trees grown on at most the given number of labelled documents; ids beyond a full sample are not looked at."""
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).select("doc_id", F.col(target).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -195,6 +196,7 @@ def judge(docs: DataFrame, model: Trees | None, keep_from: float = KEEP_FROM, co
     kept = [c for c in columns if c not in added]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"{k} {t}" for k, t in added.items())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "judged_text"):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, spread, vocabulary_path
-from .common import shared_dir, slices, table, written
+from .common import lean, shared_dir, slices, table, written
 
 MAGIC = b"WFVB\x01"
 HEAD = "<4Q"
@@ -88,6 +88,7 @@ def _open(uri: str):
 def encode_table(docs: DataFrame, vocabulary: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every whole text, with the end id: id, n_tokens, ids (see squeeze), ids_crc32 (of the ids as unsigned 32-bit)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(vocabulary)
         for batch in batches:
@@ -105,6 +106,7 @@ def encode_table(docs: DataFrame, vocabulary: str, end_id: int | None, id_col: s
 def frequencies(encoded: DataFrame) -> np.ndarray:
     """How often each id occurs in all rows; one count per id of the vocabulary comes to the driver."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
@@ -133,6 +135,7 @@ def write_files(encoded: DataFrame, uri: str, counts: np.ndarray) -> DataFrame:
     with fs.open_output_stream(f"{path}/ranks.bin") as out:
         out.write(order.tobytes())
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _open(uri)
         part = TaskContext.get().partitionId()
@@ -173,6 +176,7 @@ def read_files(spark: SparkSession, uri: str, manifest: DataFrame, keep_ids: boo
         files.append((row["file"], start))
         start += row["n_tokens"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _open(uri)
         order = None

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import lean, shared_dir, table, written
 
 #: Bytes of payload in a chunk row, and bytes read from a file at once.
 CHUNK, READ = 1 << 20, 1 << 18
@@ -80,6 +80,7 @@ def _head(row: dict) -> bytes:
 def write_archives(chunks: DataFrame, uri: str) -> DataFrame:
     """Write an archive per partition; the manifest: file, n_records, n_bytes."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(uri)
         name, records, size, out, member = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0, 0, None, None
@@ -191,6 +192,7 @@ def read_archives(uri: str, manifest: DataFrame, keep_data: bool = True) -> Data
     from the header raise an error.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(uri)
         for batch in batches:
