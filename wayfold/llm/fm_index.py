@@ -52,29 +52,34 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
     """Suffix array of a text whose suffixes all differ before they end, by prefix doubling.
 
     Also, for each place, the interval of the suffixes that agree with its own in the first `depth` symbols (a power of
-    two): suffixes that agree stand together in every later order.
+    two): suffixes that agree stand together in every later order. A suffix goes by the place where its group begins;
+    groups of one are not sorted again.
     """
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    step, low, high = 1, None, None
+    order = np.argsort(text, kind="stable")
+    rank, slots = np.empty(n, np.int64), np.arange(n)
+    key, step, low, high = text[order], 1, None, None
     while True:
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        begin = np.flatnonzero(new)
+        sizes = np.diff(np.append(begin, len(slots)))
+        # Slots of a group follow each other, so the first one's number is where the group begins.
+        rank[order[slots]] = np.repeat(slots[begin], sizes)
         if step == depth:
-            low, high = _blocks(rank)
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
+            low = rank.copy()
+            high = low + np.bincount(rank, minlength=n)[rank]
+        slots = slots[np.repeat(sizes > 1, sizes)]
+        if not len(slots):
+            if low is None:
+                low, high = rank, rank + 1
+            return order, low, high
+        some = order[slots]
+        key = rank[some] * (n + 1)
+        inside = some + step < n
+        key[inside] += rank[some[inside] + step] + 1
+        by = np.argsort(key, kind="stable")
+        order[slots], key = some[by], key[by]
         step *= 2
-        if new[-1] == n - 1:
-            return order, *(_blocks(rank) if low is None else (low, high))
-
-
-def _blocks(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = np.bincount(rank)
-    end = np.cumsum(size)
-    return (end - size)[rank], end[rank]
 
 
 class FMIndex:
@@ -96,7 +101,7 @@ class FMIndex:
         inner[ends] = False
         text[ends] = np.arange(n_seq)
         text[inner] = code + n_seq
-        self.n_seq, self.n = n_seq, len(text)
+        self.n_seq, self.n, self.code = n_seq, len(text), code + n_seq
         sigma = n_seq + len(self.alphabet)
         weights = np.ones(n_seq, np.int64) if weights is None else weights.astype(np.int64)
         self.before = np.zeros(1, np.int64)
@@ -107,39 +112,59 @@ class FMIndex:
         self.bwt = WaveletMatrix(text[order - 1], max(sigma, 2)) if self.n else None
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma)))) if self.n else np.zeros(1, np.int64)
 
-    def statistics(self, words: np.ndarray, ends: np.ndarray, longest: int, least: int = 2, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Matching statistics of streamed words, up to `longest`: for each end, how many words before it occur together
-        at least `least` times in the index, and how often they do. All ends search backwards side by side.
+    def intervals(self, offsets: np.ndarray, longest: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the indexed sequences (offsets: words of each) hold `longest` words in a row that occur `least` times or
+        more: sequence, first word, and number of such windows, a row per interval of neighbouring windows.
 
-        own: the words are a prefix of the indexed ones, each end has SEED words of its sequence before it, and lengths
-        under SEED don't matter: the search starts from the kept intervals, and shorter matches are given as 0.
+        Windows with a rarer run of SEED words are out at once. What remains is streamed from the right: from the last
+        window's end backward search goes on as long as there are `least` occurrences. Such a match settles all windows
+        within it, and the search begins anew at the last window that it doesn't hold. All stretches search side by side.
         """
-        length = np.zeros(len(ends), np.int64)
-        times = np.zeros(len(ends), np.int64)
-        if not self.n or not len(ends):
-            return length, times
-        at = np.minimum(np.searchsorted(self.alphabet, words), len(self.alphabet) - 1)
-        code = np.where(self.alphabet[at] == words, at + self.n_seq, -1)
-        live, done = np.arange(len(ends)), 0
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
-        if own and longest >= self.SEED:
-            done = self.SEED
-            low, high = self.low[ends - done], self.high[ends - done]
-            found = self.before[high] - self.before[low]
-            ok = found >= least
-            live, low, high = live[ok], low[ok], high[ok]
-            length[live], times[live] = done, found[ok]
-        for k in range(done, longest):
-            if not len(live):
-                break
-            place = ends[live] - 1 - k
-            symbol = np.where(place >= 0, code[np.maximum(place, 0)], -1)
-            ok = symbol >= 0
-            live, low, high, symbol = live[ok], low[ok], high[ok], symbol[ok]
+        n_win = np.maximum(np.diff(offsets) - longest + 1, 0)
+        none = np.zeros(0, np.int64)
+        if not n_win.sum():
+            return none, none, none
+        often = np.concatenate(([0], np.cumsum(self.before[self.high] - self.before[self.low] >= least)))
+        seq = np.repeat(np.arange(len(n_win)), n_win)
+        start = np.arange(n_win.sum()) - np.repeat(np.cumsum(n_win) - n_win, n_win) + np.repeat(offsets[:-1], n_win)
+        need = longest - self.SEED + 1
+        keep = often[start + need] - often[start] == need
+        seq, start = seq[keep], start[keep]
+        if not len(seq):
+            return none, none, none
+        new = np.concatenate(([True], (seq[1:] != seq[:-1]) | (start[1:] != start[:-1] + 1)))
+        begin = np.flatnonzero(new)
+        of, left = seq[begin], start[begin]
+        right = start[np.append(begin[1:], len(seq)) - 1].copy()
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        live = np.arange(len(of))
+        while len(live):
+            reached = self._backward(right[live] + longest, left[live], least)
+            hit = right[live] + longest - reached >= longest
+            found.append((of[live[hit]], reached[hit], right[live[hit]] - reached[hit] + 1))
+            right[live] = np.where(hit, reached, right[live]) - 1
+            live = live[right[live] >= left[live]]
+        seq, start, n = (np.concatenate(c) for c in zip(*found, strict=True))
+        by = np.argsort(start, kind="stable")
+        seq, start, n = seq[by], start[by], n[by]
+        new = np.concatenate(([True], (seq[1:] != seq[:-1]) | (start[1:] != start[:-1] + n[:-1]))) if len(seq) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        return seq[begin], start[begin], np.add.reduceat(n, begin) if len(begin) else none
+
+    def _backward(self, ends: np.ndarray, stops: np.ndarray, least: int) -> np.ndarray:
+        """Where the longest match that ends before each place of the indexed words begins, not before its stop."""
+        reached = ends - self.SEED
+        low, high = self.low[reached], self.high[reached]
+        live = np.flatnonzero((reached > stops) & (self.before[high] - self.before[low] >= least))
+        low, high = low[live], high[live]
+        while len(live):
+            symbol = self.code[reached[live] - 1]
+            both = self.bwt.rank(np.concatenate((symbol, symbol)), np.concatenate((low, high)))
             first = self.first[symbol]
-            low, high = first + self.bwt.rank(symbol, low), first + self.bwt.rank(symbol, high)
-            found = self.before[high] - self.before[low]
-            ok = found >= least
+            low, high = first + both[: len(live)], first + both[len(live) :]
+            ok = self.before[high] - self.before[low] >= least
+            live, low, high = live[ok], low[ok], high[ok]
+            reached[live] -= 1
+            ok = reached[live] > stops[live]
             live, low, high = live[ok], low[ok], high[ok]
-            length[live], times[live] = k + 1, found[ok]
-        return length, times
+        return reached

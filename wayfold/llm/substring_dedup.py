@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, counted_join, hashes_of, lean, mix, row_key, slices, table, words_of, written
+from .common import ODD, counted_join, hashes_of, lean, mix, release, row_key, slices, table, words_of, written
 from .fm_index import FMIndex
 
 #: Words of a window, words whose hash may be a minimizer, words of a shard, and segments from which a minimizer is hot.
@@ -198,18 +198,6 @@ def cut_pieces(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 SPAN = np.dtype([("first", "<i4"), ("windows", "<i4")])
 
 
-def intervals(marks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of marks within each piece (sizes: windows of each): the piece of each run, and the runs as SPAN."""
-    piece = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.arange(len(marks)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    begin = marks & np.concatenate(([True], ~marks[:-1] | (piece[1:] != piece[:-1]))) if len(marks) else marks
-    rows = np.flatnonzero(begin)
-    out = np.zeros(len(rows), SPAN)
-    run = np.cumsum(begin)[marks] - 1
-    out["first"], out["windows"] = at[rows], np.bincount(run, minlength=len(rows))
-    return piece[rows], out
-
-
 def repeated(pieces: DataFrame, shards: int) -> DataFrame:
     """Intervals of each piece whose windows stand at two places or more: h1, copies, spans (see SPAN)."""
 
@@ -223,14 +211,14 @@ def repeated(pieces: DataFrame, shards: int) -> DataFrame:
         del cells
         offsets = np.concatenate(([0], np.cumsum(sizes)))
         index = FMIndex(words, offsets, copies)
-        n_win = sizes - WINDOW + 1
-        to = np.cumsum(n_win)
-        ends = np.repeat(offsets[:-1] + WINDOW - (to - n_win), n_win) + np.arange(n_win.sum())
-        length, _ = index.statistics(words, ends, WINDOW, own=True)
-        piece, spans = intervals(length >= WINDOW, n_win)
+        piece, start, n = index.intervals(offsets, WINDOW)
+        spans = np.zeros(len(piece), SPAN)
+        spans["first"], spans["windows"] = start - offsets[piece], n
         rows, first = np.unique(piece, return_index=True)
         bounds = np.append(first, len(spans))
-        return pa.table({"h1": pa.array(h1[rows], pa.int64()), "copies": pa.array(copies[rows], pa.int64()), "spans": pa.array([spans[a:z].tobytes() for a, z in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
+        out = {"h1": pa.array(h1[rows], pa.int64()), "copies": pa.array(copies[rows], pa.int64()), "spans": pa.array([spans[a:z].tobytes() for a, z in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())}
+        release()
+        return pa.table(out)
 
     return pieces.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInArrow(run, "h1 long, copies long, spans binary")
 
