@@ -11,7 +11,8 @@ manifest are read.
 
 Defined results: a null html is an empty payload; rows that share the smallest page id and its payload are responses,
 all of them; a null page id is never the smallest unless all are null, and is then a response; a null url is written as
-an empty address; an empty table gives no archive and no rows; other columns are ignored.
+an empty address; repeated rows and equal page ids each give a record, with equal record identifiers; a payload of any
+length is cut into chunks; an empty table gives no archive and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, shared_dir, table, written
+from .common import counted_join, lean, shared_dir, table, written
 
 #: Bytes of payload in a chunk row, and bytes read from a file at once.
 CHUNK, READ = 1 << 20, 1 << 18
@@ -41,23 +42,25 @@ ID = "urn:x-page:"
 def chunk_table(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
     """Chunk rows of every page: page_id, url, record_type, refers_to, sha1 (hex), n_bytes, chunk_no, n_chunks, data.
 
-    Digests are grouped before anything moves; only the identifiers of copies meet, and a revisit carries no payload.
+    Payloads are cut before anything moves, so no row that is shuffled is longer than a chunk. Digests are grouped first;
+    chunk rows then meet the small table of payloads that occur twice or more, the most frequent of which are broadcast.
+    The rows of a record come together and in order within a partition; a revisit carries no payload.
     """
-    body = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("body"))
+    body = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("body"), F.monotonically_increasing_id().alias("row"))
     full = body.select("*", F.sha1("body").alias("sha1"), F.octet_length("body").cast("long").alias("n_bytes"), F.xxhash64("body").alias("xx"))
     same = ["sha1", "n_bytes", "xx"]
-    first = full.select("page_id", *same).filter(F.col("n_bytes") >= min_bytes).groupBy(*same).agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first_id is not null")
-    copies = full.select("page_id", *same).join(first.drop("n"), same).filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
-    copies = copies.select(F.col("page_id").alias("copy_id"), F.col("sha1").alias("copy_sha1"), "first_id").distinct()
-    out = full.join(copies, F.col("page_id").eqNullSafe(F.col("copy_id")) & (F.col("sha1") == F.col("copy_sha1")), "left")
-    revisit = F.col("first_id").isNotNull()
-    n_chunks = F.when(revisit, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / chunk))).cast("int")
-    return (
-        out.select("page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("first_id").alias("refers_to"), "sha1", "n_bytes", n_chunks.alias("n_chunks"), F.when(revisit, F.lit(b"")).otherwise(F.col("body")).alias("body"))
-        .withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-        .withColumn("data", F.expr(f"substring(body, chunk_no * {chunk} + 1, {chunk})"))
-        .select("page_id", "url", "record_type", "refers_to", "sha1", "n_bytes", "chunk_no", "n_chunks", "data")
-    )
+    copies = full.select("page_id", *same).groupBy(*same).agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = written(copies.withColumn("first_id", F.when(F.col("n_bytes") >= min_bytes, F.col("first_id"))), "warc-copies")
+    n_chunks = F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / chunk)).cast("int")
+    rows = full.withColumn("n_chunks", n_chunks).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+    rows = rows.withColumn("data", F.expr(f"substring(body, chunk_no * {chunk} + 1, {chunk})")).drop("body")
+    out = counted_join(rows, copies, same, "n", copies.agg(F.sum("n")).first()[0] or 0, F.col("row"), "left")
+    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    out = out.withColumn("revisit", revisit).filter("not revisit or chunk_no = 0").sortWithinPartitions("row", "chunk_no")
+    return out.select(
+        "page_id", "url", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("revisit"), F.col("first_id")).alias("refers_to"), "sha1", "n_bytes", "chunk_no",
+        F.when(F.col("revisit"), 1).otherwise(F.col("n_chunks")).alias("n_chunks"), F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("data")).alias("data"),
+    )
 
 
 def _name(page_id) -> str:
