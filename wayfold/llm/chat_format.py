@@ -8,7 +8,8 @@ read back.
 
 Defined results: a null text or role is empty; a null part or a part of unknown kind gives nothing; turns are ordered
 by turn, then role, then content, so that repeated rows and ties have one order; rows with a null conversation id form
-one conversation; an empty table gives an empty result; other columns of the input are ignored.
+one conversation; an empty table gives an empty result; other columns of the input are ignored. A conversation is one
+row of the result, so its turns meet in one row: together they have to stay under the 2 GB that a row may hold.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import table
 TURN, HEAD_END, TURN_END = "<|turn|>", "\n", "<|end|>\n"
 #: Openings that must not stand in a text; each is broken by a backslash after its first character.
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]")
+#: What stands for a line feed in a role, which a line feed closes; no escaped text holds it, for its backslash is a lone one.
+ROLE_BREAK = "<\\n>"
 #: Tokens for one unit of an attachment: image tiles, audio seconds, document pages.
 UNIT_TOKENS = {"image": 85, "audio": 25, "document": 600}
 PART = "struct<kind:string,text:string,ref:string,units:bigint>"
@@ -42,6 +45,14 @@ def unescape(text: Column) -> Column:
     return F.replace(out, F.lit("\\\\"), F.lit("\\"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit(HEAD_END), F.lit(ROLE_BREAK))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit(ROLE_BREAK), F.lit(HEAD_END)))
+
+
 def text_parts(text: str) -> Column:
     """The content of a turn that has one plain text."""
     return F.array(F.struct(F.lit("text").alias("kind"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("units"))).cast(f"array<{PART}>")
@@ -79,8 +90,11 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         F.array_join(F.transform(F.col(parts), visit), "").alias("body"),
         F.transform(F.filter(F.col(parts), is_attachment), lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), tokens_of(p).alias("tokens"))).alias("attached"),
     )
-    whole = one.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "body", "attached"))).alias("t"))
-    head = lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(HEAD_END))
+    whole = one.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "body", "attached")).alias("t"))
+    # Ties go by the plain content, which an escape may order differently.
+    plain = F.transform("t", lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), unescape(t["body"]).alias("plain"), t["body"].alias("body"), t["attached"].alias("attached")))
+    whole = whole.select("conv_id", F.array_sort(plain).alias("t"))
+    head = lambda t: F.concat(F.lit(TURN), escape_role(t["role"]), F.lit(HEAD_END))
     return whole.select(
         "conv_id",
         F.array_join(F.transform("t", lambda t: F.concat(head(t), F.coalesce(t["body"], F.lit("")), F.lit(TURN_END))), "").alias("formatted"),
@@ -100,7 +114,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     parsed = F.transform(
         "chunks",
         lambda c: F.struct(
-            unescape(F.substring_index(c, HEAD_END, 1)).alias("role"),
+            unescape_role(F.substring_index(c, HEAD_END, 1)).alias("role"),
             unescape(F.substr(c, F.char_length(F.substring_index(c, HEAD_END, 1)) + F.lit(2), F.char_length(c) - F.char_length(F.substring_index(c, HEAD_END, 1)) - F.lit(1 + ended))).alias("text"),
         ),
     )
@@ -144,7 +158,7 @@ WITH turns AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-    sum({len(TURN) + len(HEAD_END) + len(TURN_END)} + length({_sql_escape('role')}) + length({_sql_escape('text')})) AS formatted_chars
+    sum({len(TURN) + len(HEAD_END) + len(TURN_END)} + length({_sql_escape('role')}) + {len(ROLE_BREAK) - 1} * (length(role) - length(replace(role, chr(10), ''))) + length({_sql_escape('text')})) AS formatted_chars
   FROM turns GROUP BY conv_id
 )
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
