@@ -8,7 +8,8 @@ the window agrees with both sides; in the limit the window is the whole piece. A
 enough: a sequence of BPE tokens is the encoding of its text if each pair of neighbours is.
 
 Defined results: a null text is empty and has no tokens; special-token strings in a text become their ids, as the
-library does by default; other columns are ignored; repeated rows each give a row; an empty table gives no rows.
+library does by default; other columns are ignored; repeated rows each give a row; very long texts are encoded whole;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import chain
 
 import numpy as np
@@ -32,7 +34,7 @@ LONG, LEAF = 8192, 4096
 #: First window, in characters to each side of a join, and tokens that must agree in a row on each side.
 WINDOW, AGREE = 64, 4
 #: Pieces of each of two generations that a worker remembers; when the young one is full, it becomes the old one.
-REMEMBER = 500_000
+REMEMBER = 300_000
 
 _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n])|(?<=[A-Za-z])(?=[.,])")
 _UNSAFE_SPACE = r"[\s\pZ\x0b\x1c-\x1f\x{85}] "
@@ -139,12 +141,17 @@ class Encoder:
 
     # -- tree concatenation -----------------------------------------------------------------------------------------
     def tree(self, text: str) -> list[int]:
-        """Ids of a long text: leaves in parallel, then joins level by level."""
+        """Ids of a long text: its halves in two threads (the library lets others run meanwhile), then joins level by level."""
         bounds = [*range(0, len(text), LEAF), len(text)]
-        nodes = [(a, b, *self._of(e, a)) for a, b, e in zip(bounds, bounds[1:], self.tokenizer.encode_batch([text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], add_special_tokens=False), strict=False)]
-        while len(nodes) > 1:
-            joined = [self._join(text, x, y) for x, y in zip(nodes[::2], nodes[1::2], strict=False)]
-            nodes = joined + ([nodes[-1]] if len(nodes) % 2 else [])
+        spans = [(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if a < b]
+        half = len(spans) // 2
+        encode = lambda part: self.tokenizer.encode_batch([text[a:b] for a, b in part], add_special_tokens=False)
+        with ThreadPoolExecutor(2) as pool:
+            leaves = list(chain.from_iterable(pool.map(encode, (spans[:half], spans[half:]))))
+            nodes = [(a, b, *self._of(e, a)) for (a, b), e in zip(spans, leaves, strict=True)]
+            while len(nodes) > 1:
+                joined = list(pool.map(lambda pair: self._join(text, *pair), zip(nodes[::2], nodes[1::2], strict=False)))
+                nodes = joined + ([nodes[-1]] if len(nodes) % 2 else [])
         return nodes[0][2] if nodes else []
 
     @staticmethod
