@@ -6,7 +6,8 @@ constraints on chosen statistics, and flattened into node arrays that score a ba
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; without labels, or with one
 class only, the trees keep whatever passes the base rules; labels with a null id or quality are left out; of several
-labels of one id each counts as a row; repeated rows each give a row; an empty table gives no rows.
+labels of one id each counts as a row; repeated rows each give a row; very long texts are read whole; of columns named
+like one that is added the added one stays; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -199,7 +200,7 @@ def judge(docs: DataFrame, model: Trees | None, keep_from: float = KEEP_FROM, co
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "judged_text"):
+            for part in slices(batch, "judged_text", 4 << 20):
                 base, x = statistics(part.column(0))
                 failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * base["n_words"])
                 score = model.score(x) if model else np.ones(len(x))

@@ -10,7 +10,8 @@ has the id of each rank. Files are sorted by document id, and follow each other
 finished task has listed in the manifest are read, so the leavings of lost executors do no harm.
 
 Defined results: a null text is empty and gives the end id alone; equal document ids are ordered by the CRC of their
-ids; null document ids come first; an empty table gives no files and no rows; other columns are ignored.
+ids; null document ids come first; repeated rows each give a row; very long texts are one cell of compressed ids; an
+empty table gives no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
