@@ -33,10 +33,16 @@ from .common import lean, slices, table
 LONG, LEAF = 8192, 4096
 #: First window, in characters to each side of a join, and tokens that must agree in a row on each side.
 WINDOW, AGREE = 64, 4
-#: Pieces of each of two generations that a worker remembers; when the young one is full, it becomes the old one.
-REMEMBER = 300_000
+#: Pieces that a worker remembers, at most, and bytes of the longest of them.
+REMEMBER, SHORT = 1_000_000, 64
+#: Pieces that are encoded as one input.
+TOGETHER = 1000
 
 _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n])|(?<=[A-Za-z])(?=[.,])")
+#: What the word tokenizer splits lower-case text into, and characters for which that isn't told by this expression alone,
+#: since folding or composing may change them: all but ASCII, letters of western Europe, and common marks.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\s\pL\pN]+"
+_OTHERS = r"[^\x00-\x7F\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}\x{A1}\x{AB}\x{BB}\x{BF}\x{2013}\x{2014}\x{2018}-\x{201E}\x{2026}]"
 _UNSAFE_SPACE = r"[\s\pZ\x0b\x1c-\x1f\x{85}] "
 
 
@@ -47,7 +53,7 @@ def vocabulary_path(name: str) -> str:
 
 
 class Encoder:
-    """The library's tokenizer from a file, with a bounded memory of pieces."""
+    """The library's tokenizer from a file, with a bounded memory of pieces: a column of strings and their ids end to end."""
 
     _open: dict = {}
 
@@ -58,8 +64,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # Tokens that end a word by the model's suffix, or that begin with a space. Where words are closed, spaces count for nothing.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closed = bool(suffix)
+        self.marks = np.zeros(max(vocab.values(), default=-1) + 1, bool)
+        self.marks[[i for t, i in vocab.items() if (t.endswith(suffix) if suffix else t.startswith("\u0120"))]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.ids, self.at, self.used = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -69,32 +83,90 @@ class Encoder:
         return cls._open[path]
 
     # -- pieces -----------------------------------------------------------------------------------------------------
-    def ids_of(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, as unsigned 32-bit integers; pieces that are not remembered are encoded in one call."""
-        young, old = self.young, self.old
-        found: dict[str, bytes] = {}
-        new = []
-        for p in dict.fromkeys(pieces):
-            ids = young.get(p)
-            if ids is None:
-                ids = old.get(p)
-                if ids is not None and len(p) <= 64:
-                    young[p] = ids
-            if ids is None:
-                new.append(p)
+    def look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, each a space and a word without white space: a buffer of ids, and where each piece's begin and how many they are."""
+        found = pc.index_in(words, value_set=self.known)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        place = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = words.filter(pa.array(new))
+        more, size = self.encode_new(fresh)
+        buffer = np.concatenate((self.ids, more))
+        begin, length = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        old = place[~new]
+        begin[~new], length[~new] = self.at[old], self.at[old + 1] - self.at[old]
+        ends = np.cumsum(size)
+        begin[new], length[new] = len(self.ids) + ends - size, size
+        self.used[old] = True
+        short = pc.less_equal(pc.binary_length(fresh), SHORT).to_numpy(zero_copy_only=False)
+        self.ids = np.concatenate((self.ids, spread(more, (ends - size)[short], size[short])))
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(size[short])))
+        self.known = pa.concat_arrays([self.known, fresh.filter(pa.array(short))])
+        self.used = np.concatenate((self.used, np.ones(int(short.sum()), bool)))
+        if len(self.known) > REMEMBER:  # what hasn't been seen since the last time goes
+            keep, sizes = self.used, np.diff(self.at)
+            if keep.sum() > REMEMBER // 2:
+                self.forget()
             else:
-                found[p] = ids
-        short = [p for p in new if len(p) <= LONG]
-        for at in range(0, len(short), 20_000):
-            part = short[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                found[p] = ids = np.array(e.ids, np.uint32).tobytes()
-                if len(p) <= 64:
-                    young[p] = ids
-        found |= {p: np.array(self.tree(p), np.uint32).tobytes() for p in new if len(p) > LONG}
-        if len(young) > REMEMBER:
-            self.young, self.old = {}, young
-        return [found[p] for p in pieces]
+                self.known, self.ids = self.known.filter(pa.array(keep)), spread(self.ids, self.at[:-1][keep], sizes[keep])
+                self.at, self.used = np.concatenate(([0], np.cumsum(sizes[keep]))), np.zeros(int(keep.sum()), bool)
+        return buffer, begin, length
+
+    def encode_new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces (a space and a word each), one after the other, and how many each has.
+
+        Many pieces are one input, for a cut before a space changes nothing; the marks of tokens tell where each begins or
+        ends. Pieces of which that can't be told, and inputs whose marks are not as many as they should be, are encoded
+        piece by piece.
+        """
+        n = len(words)
+        size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        plain = (size > 0) & (size <= LONG) & ~pc.match_substring(words, "<").to_numpy(zero_copy_only=False)
+        marks = plain.astype(np.int64)
+        if self.closed:
+            simple = ~pc.match_substring_regex(words, _OTHERS).to_numpy(zero_copy_only=False)
+            letters = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+            count = pc.count_substring_regex(pc.utf8_lower(words), _WORDS).to_numpy(zero_copy_only=False)
+            marks = np.where(simple, count, 1) * plain
+            plain &= simple | letters
+        rows = np.flatnonzero(plain)
+        bounds = np.append(np.arange(0, len(rows), TOGETHER), len(rows))
+        lists = pa.LargeListArray.from_arrays(pa.array(bounds), words.take(pa.array(rows)))
+        texts = pc.binary_join(lists, pa.scalar(" ", pa.large_string())).to_pylist() if len(rows) else []
+        alone = list(np.flatnonzero(~plain))
+        pieces_ids: list[np.ndarray] = []
+        begin, length, used = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+        for at in range(0, len(texts), 16):
+            for k, e in enumerate(self.tokenizer.encode_batch_fast([f" {t}" for t in texts[at : at + 16]], add_special_tokens=False), at):
+                mine = rows[bounds[k] : bounds[k + 1]]
+                ids = np.array(e.ids, np.uint32)
+                marked, upto = np.flatnonzero(self.marks[ids]), np.concatenate(([0], np.cumsum(marks[mine])))
+                if len(marked) != upto[-1] or not len(marked) or (marked[-1] != len(ids) - 1 if self.closed else marked[0] != 0):
+                    alone += list(mine)
+                    continue
+                edge = np.concatenate(([0], marked + 1))[upto] if self.closed else np.append(marked, len(ids))[upto]
+                begin[mine], length[mine] = used + edge[:-1], np.diff(edge)
+                pieces_ids.append(ids)
+                used += len(ids)
+        if alone:
+            some = words.take(pa.array(np.array(alone, np.int64))).to_pylist()
+            cells = self.alone([f" {w}" for w in some])
+            for r, ids in zip(alone, cells, strict=True):
+                begin[r], length[r] = used, len(ids)
+                pieces_ids.append(ids)
+                used += len(ids)
+        flat = np.concatenate(pieces_ids) if pieces_ids else np.zeros(0, np.uint32)
+        return spread(flat, begin, length), length
+
+    def alone(self, pieces: list[str]) -> list[np.ndarray]:
+        """The ids of pieces, each an input of its own; long ones are cut where that is safe, and what stays long is a tree."""
+        parts = [[p] if len(p) <= LONG or "\x00" in p else self.cut(p) for p in pieces]
+        each = list(dict.fromkeys(chain.from_iterable(parts)))
+        known: dict[str, np.ndarray] = {p: np.array(self.tree(p), np.uint32) for p in each if len(p) > LONG}
+        each = [p for p in each if len(p) <= LONG]
+        for at in range(0, len(each), 20_000):
+            some = each[at : at + 20_000]
+            known.update((p, np.array(e.ids, np.uint32)) for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
+        return [known[part[0]] if len(part) == 1 else np.concatenate([known[p] for p in part] or [np.zeros(0, np.uint32)]) for part in parts]
 
     def cut(self, text: str) -> list[str]:
         """The pieces of a text, one string at a time."""
@@ -110,34 +182,44 @@ class Encoder:
         at = at - at[0]
         flat = lists.flatten().dictionary_encode()
         flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-        code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        size = len(flat.dictionary)
+        code, words = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary
+        size = len(words)
         # The first piece of a text has no space before it: it gets a number of its own.
         first = at[:-1][np.diff(at) > 0]
         heads, numbers = np.unique(code[first], return_inverse=True) if len(first) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         code[first] = size + numbers
-        words = flat.dictionary.to_pylist()
-        pieces = [f" {w}" for w in words] + [words[h] for h in heads]
+        others = words.take(pa.array(heads)).to_pylist()
         rows = np.flatnonzero(odd)
         if len(rows):  # texts that need each cut looked at: a piece list of their own
             own = [[t] if "\x00" in t else self.cut(t) for t in texts.take(pa.array(rows)).to_pylist()]
-            number = {p: i + len(pieces) for i, p in enumerate(dict.fromkeys(chain.from_iterable(own)))}
-            pieces += list(number)
-            mine = [np.fromiter((number[p] for p in ps), np.int64, len(ps)) for ps in own]
+            number = dict.fromkeys(chain.from_iterable(own))
+            letters = [p for p in number if p[0] == " " and p[1:].isalpha() and len(p) <= LONG]
+            number.update((p, size + k) for k, p in enumerate(letters))
+            rest = [p for p, k in number.items() if k is None]
+            code[first] += len(letters)
+            number.update((p, size + len(letters) + len(others) + k) for k, p in enumerate(rest))
+            # Words that both kinds of texts have are one for the memory.
+            extra = pa.array([p[1:] for p in letters], pa.large_string())
+            others += rest
             split = np.split(code, at[1:-1])
-            for r, codes in zip(rows, mine, strict=True):
-                split[r] = codes
+            for r, ps in zip(rows, own, strict=True):
+                split[r] = np.fromiter((number[p] for p in ps), np.int64, len(ps))
             at = np.concatenate(([0], np.cumsum([len(x) for x in split])))
             code = np.concatenate(split) if split else code
-        # Distinct pieces are cut further, and what remains is encoded once.
-        parts = [[p] if p[1:].isalpha() or "\x00" in p else self.cut(p) for p in pieces]
-        ids = self.ids_of(list(chain.from_iterable(parts)))
-        tokens = np.frombuffer(b"".join(ids), np.uint32)
-        part_ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))))) // 4
-        ends = part_ends[np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))))]
-        length = np.diff(ends)[code]
-        to = np.concatenate(([0], np.cumsum(length)))
-        return spread(tokens, ends[:-1][code], length), to[at]
+            both = pa.concat_arrays([words, extra]).dictionary_encode()
+            same, words = both.indices.to_numpy(zero_copy_only=False), both.dictionary
+        else:
+            same = np.arange(size)
+        buffer, begin, length = self.look(words)
+        begin, length = begin[same], length[same]
+        # Each distinct piece is encoded once.
+        cells = self.alone(others)
+        tail = np.fromiter(map(len, cells), np.int64, len(cells))
+        begin = np.concatenate((begin, len(buffer) + np.cumsum(tail) - tail))
+        length = np.concatenate((length, tail))
+        buffer = np.concatenate([buffer, *cells])
+        size = length[code]
+        return spread(buffer, begin[code], size), np.concatenate(([0], np.cumsum(size)))[at]
 
     # -- tree concatenation -----------------------------------------------------------------------------------------
     def tree(self, text: str) -> list[int]:
