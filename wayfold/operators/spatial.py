@@ -18,6 +18,22 @@ def cells(x1: Column, y1: Column, x2: Column, y2: Column, reach: float = 0.0, ce
     return F.flatten(F.transform(F.sequence(low(x1, x2), high(x1, x2)), lambda i: F.transform(F.sequence(low(y1, y2), high(y1, y2)), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
+def walked(x1: Column, y1: Column, x2: Column, y2: Column, reach: float = 0.0, cell: float = CELL) -> Column:
+    """The grid cells that a segment, grown by reach, passes: for each column of cells, those between its heights there."""
+    left, right = F.least(x1, x2), F.greatest(x1, x2)
+    # Heights at two places of the segment; a steep or upright one covers all of its heights.
+    slope = F.when(right - left > 1e-9, (y2 - y1) / (x2 - x1))
+    at = lambda x: F.least(F.greatest(y1 + slope * (x - x1), F.least(y1, y2)), F.greatest(y1, y2))
+
+    def rows(i: Column) -> Column:
+        a, b = at(i * cell - reach), at((i + 1) * cell + reach)
+        low, high = F.coalesce(F.least(a, b), F.least(y1, y2)), F.coalesce(F.greatest(a, b), F.greatest(y1, y2))
+        wide = reach + 1e-6
+        return F.transform(F.sequence(F.floor((low - wide) / cell), F.floor((high + wide) / cell)), lambda j: F.struct(i.alias("cx"), j.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(F.floor((left - reach) / cell), F.floor((right + reach) / cell)), rows))
+
+
 def segment_table(streets: DataFrame, *keep: str) -> DataFrame:
     """street_id, the kept columns, seq, x1, y1, x2, y2."""
     return streets.select("street_id", *keep, F.explode(L.segments(F.col("geom"))).alias("s")).select("street_id", *keep, "s.*")
@@ -29,7 +45,7 @@ def points_near_segments(points: DataFrame, segments: DataFrame, reach: float, c
     A point lies in one cell only, so no pair comes twice and nothing need be made distinct.
     """
     p = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    s = segments.withColumn("c", F.explode(cells(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), reach, cell))).select("*", "c.cx", "c.cy").drop("c")
+    s = segments.withColumn("c", F.explode(walked(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), reach, cell))).select("*", "c.cx", "c.cy").drop("c")
     d = L.distance_to_segment(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))
     return p.join(s, ["cx", "cy"]).withColumn("distance", d).filter(F.col("distance") <= reach).drop("cx", "cy")
 
@@ -44,13 +60,11 @@ def point_pairs(points: DataFrame, reach: float) -> DataFrame:
 
 
 def segment_pairs(left: DataFrame, right: DataFrame, cell: float = CELL) -> DataFrame:
-    """Pairs of segments whose boxes share a cell, each once. Columns of the left end in _l, of the right in _r."""
+    """Pairs of segments that pass a common cell, each once. Columns of the left end in _l, of the right in _r."""
     names = ("street_id", "seq", "x1", "y1", "x2", "y2")
-    named = lambda d, t: d.select(*(F.col(n).alias(n + t) for n in names), F.explode(cells(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), 0.0, cell)).alias("c"))
+    named = lambda d, t: d.select(*(F.col(n).alias(n + t) for n in names), F.explode(walked(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), 0.0, cell)).alias("c"))
     both = named(left, "_l").join(named(right, "_r"), "c")
-    # Of the cells that two boxes share, the least counts.
-    first = F.struct(
-        F.floor(F.greatest(F.least("x1_l", "x2_l"), F.least("x1_r", "x2_r")) / cell).alias("cx"),
-        F.floor(F.greatest(F.least("y1_l", "y2_l"), F.least("y1_r", "y2_r")) / cell).alias("cy"),
-    )
-    return both.filter(F.col("c") == first).drop("c")
+    # Boxes that are apart have nothing in common.
+    c = F.col
+    meet = lambda v: (F.least(c(f"{v}1_l"), c(f"{v}2_l")) <= F.greatest(c(f"{v}1_r"), c(f"{v}2_r"))) & (F.least(c(f"{v}1_r"), c(f"{v}2_r")) <= F.greatest(c(f"{v}1_l"), c(f"{v}2_l")))
+    return both.filter(meet("x") & meet("y")).drop("c").dropDuplicates(["street_id_l", "seq_l", "street_id_r", "seq_r"])

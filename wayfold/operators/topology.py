@@ -94,10 +94,11 @@ def split(streets: DataFrame, points: DataFrame, eps: float = EPS) -> DataFrame:
     return out.select(*base.columns, "piece")
 
 
-def induce_nodes(streets: DataFrame, eps: float = EPS) -> DataFrame:
-    """Streets cut wherever a node is missing; the search distance is EPS, eps is that of the cut. Adds _status, piece."""
+def induce_nodes(streets: DataFrame, eps: float = EPS, more: DataFrame | None = None) -> DataFrame:
+    """Streets cut wherever a node is missing, and at more places (x, y); the search distance is EPS, eps is that of the cut. Adds _status, piece."""
     streets = written(streets, "streets")
-    return split(streets, written(induce_points(streets), "induced-points"), eps)
+    points = induce_points(streets) if more is None else induce_points(streets).unionByName(more.select("x", "y"))
+    return split(streets, written(points, "induced-points"), eps)
 
 
 def status_of(statuses: Column, n: Column) -> Column:
@@ -206,17 +207,19 @@ def fix_topology(streets: DataFrame, eps: float = EPS, aggfunc: str | dict = "fi
 
 
 def renumber(pieces: DataFrame) -> DataFrame:
-    """Pieces with ids of their own, in the order of street and piece, without a global sort: id and piece in one number."""
-    return pieces.withColumn("street_id", F.col("street_id") * 4096 + F.col("piece")).drop("piece")
+    """Pieces with ids of their own, in the order of street and piece."""
+    return compact(pieces, "street_id", "piece").drop("piece")
 
 
-def compact(streets: DataFrame) -> DataFrame:
-    """The same streets numbered from 0 on in the order of street_id: ranges are numbered apart, and their sizes added up."""
-    placed = written(streets.repartitionByRange("street_id").sortWithinPartitions("street_id").withColumn("_m", F.monotonically_increasing_id()), "placed")
-    part, start, bases = F.shiftright("_m", 33), 0, []
+def compact(streets: DataFrame, *by: str, name: str = "street_id", start: int = 0) -> DataFrame:
+    """The same rows numbered from start on in the order of some columns: ranges are numbered apart, and their sizes added up."""
+    by = by or ("street_id",)
+    placed = written(streets.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id()), "placed")
+    part, bases = F.shiftright("_m", 33), []
     for row in sorted(placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()):
         bases.append((row["p"], start))
         start += row["n"]
+    # A row per partition of the table above.
     base = placed.sparkSession.createDataFrame(bases, "_p long, _base long")
-    out = placed.withColumn("_p", part).join(base, "_p")
-    return out.withColumn("street_id", F.col("_base") + F.col("_m").bitwiseAND((1 << 33) - 1)).select(*streets.columns)
+    out = placed.withColumn("_p", part).join(F.broadcast(base), "_p").withColumn("_n", F.col("_base") + F.col("_m").bitwiseAND((1 << 33) - 1))
+    return out.select(*[c for c in streets.columns if c != name], F.col("_n").alias(name)).select(*dict.fromkeys([*streets.columns, name]))
