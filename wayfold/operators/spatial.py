@@ -21,13 +21,14 @@ def cells(x1: Column, y1: Column, x2: Column, y2: Column, reach: float = 0.0, ce
 def walked(x1: Column, y1: Column, x2: Column, y2: Column, reach: float = 0.0, cell: float = CELL) -> Column:
     """The grid cells that a segment, grown by reach, passes: for each column of cells, those between its heights there."""
     left, right = F.least(x1, x2), F.greatest(x1, x2)
-    # Heights at two places of the segment; a steep or upright one covers all of its heights.
-    slope = F.when(right - left > 1e-9, (y2 - y1) / (x2 - x1))
+    # Heights at both sides of a column; an upright segment has all of its heights in its column.
+    upright = right - left <= 1e-9
+    slope = (y2 - y1) / F.when(upright, F.lit(1.0)).otherwise(x2 - x1)
     at = lambda x: F.least(F.greatest(y1 + slope * (x - x1), F.least(y1, y2)), F.greatest(y1, y2))
 
     def rows(i: Column) -> Column:
         a, b = at(i * cell - reach), at((i + 1) * cell + reach)
-        low, high = F.coalesce(F.least(a, b), F.least(y1, y2)), F.coalesce(F.greatest(a, b), F.greatest(y1, y2))
+        low, high = F.when(upright, F.least(y1, y2)).otherwise(F.least(a, b)), F.when(upright, F.greatest(y1, y2)).otherwise(F.greatest(a, b))
         wide = reach + 1e-6
         return F.transform(F.sequence(F.floor((low - wide) / cell), F.floor((high + wide) / cell)), lambda j: F.struct(i.alias("cx"), j.alias("cy")))
 

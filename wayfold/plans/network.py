@@ -1,8 +1,8 @@
 """A street network made from the part table by arithmetic, in DataFrame functions and in SQL.
 
 A grid of nodes, one per part, jittered by its size; edges to the right and up; and, by the node's number, the faults
-that the operators are there to find: middle nodes, reversed copies, stubs that touch a street between its nodes, loops
-and parallel carriageways. Coordinates are whole or half numbers, so sums are exact.
+that the operators are there to find: middle nodes, reversed copies, stubs that touch a street between its nodes, loops,
+parallel carriageways, and diagonals that cross without a node. Coordinates are whole or half numbers, so sums are exact.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = nodes.select(F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     right = nodes.filter(f"k % {COLUMNS} < {COLUMNS - 1} and (k * 7919) % 11 <> 0").withColumn("k2", F.col("k") + 1).join(to, "k2")
     up = nodes.withColumn("k2", F.col("k") + COLUMNS).join(to, "k2")
+    at = lambda by, n: nodes.select((F.col("k") - by).alias("k"), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    block = nodes.filter(f"k % 23 in (7, 11) and k % 29 <> 0 and k % {COLUMNS} < {COLUMNS - 1} and floor(k / {COLUMNS}) % 8 <> 3").join(at(1, 2), "k").join(at(COLUMNS, 3), "k").join(at(COLUMNS + 1, 4), "k")
     p = lambda x, y: L.point(F.expr(x), F.expr(y))
     a, b, m = p("x", "y"), p("x2", "y2"), p("(x + x2) / 2", "(y + y2) / 2")
     made = [
@@ -34,6 +36,8 @@ def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
         right.filter("k % 3 <> 0 and k % 13 = 0").select((F.col("k") * 10 + 4).alias("street_id"), "name", "rank", L.line(m, p("(x + x2) / 2", "(y + y2) / 2 - 20")).alias("geom")),
         right.filter(f"k % 29 = 0 and floor(k / {COLUMNS}) % 8 <> 3").select((F.col("k") * 10 + 5).alias("street_id"), "name", "rank", L.line(a, p("x + 14", "y + 6"), p("x + 10", "y + 12"), a).alias("geom")),
         right.filter(f"floor(k / {COLUMNS}) % 8 = 3").select((F.col("k") * 10 + 6).alias("street_id"), "name", "rank", L.line(a, p("x + 10", "y + 8"), p("x2 - 10", "y2 + 8"), b).alias("geom")),
+        block.select((F.col("k") * 10 + 7).alias("street_id"), "name", "rank", L.line(a, p("x4", "y4")).alias("geom")),
+        block.filter("k % 23 = 7").select((F.col("k") * 10 + 8).alias("street_id"), "name", "rank", L.line(b, p("x3", "y3")).alias("geom")),
     ]
     out = made[0]
     for more in made[1:]:
@@ -49,6 +53,10 @@ net AS (
 ),
 rgt AS (SELECT a.*, b.x AS x2, b.y AS y2 FROM net a JOIN net b ON b.k = a.k + 1 WHERE a.k % {COLUMNS} < {COLUMNS - 1} AND (a.k * 7919) % 11 <> 0),
 upp AS (SELECT a.*, b.x AS x2, b.y AS y2 FROM net a JOIN net b ON b.k = a.k + {COLUMNS}),
+blk AS (
+  SELECT a.*, b.x AS x2, b.y AS y2, c.x AS x3, c.y AS y3, d.x AS x4, d.y AS y4 FROM net a JOIN net b ON b.k = a.k + 1 JOIN net c ON c.k = a.k + {COLUMNS} JOIN net d ON d.k = a.k + {COLUMNS + 1}
+  WHERE a.k % 23 IN (7, 11) AND a.k % 29 <> 0 AND a.k % {COLUMNS} < {COLUMNS - 1} AND (a.k // {COLUMNS}) % 8 <> 3
+),
 raw AS (
   SELECT k * 10 AS street_id, name, rank, [x, x2] AS xs, [y, y2] AS ys FROM rgt WHERE k % 3 <> 0
   UNION ALL SELECT k * 10, name, rank, [x, (x + x2) / 2], [y, (y + y2) / 2] FROM rgt WHERE k % 3 = 0
@@ -58,6 +66,8 @@ raw AS (
   UNION ALL SELECT k * 10 + 4, name, rank, [(x + x2) / 2, (x + x2) / 2], [(y + y2) / 2, (y + y2) / 2 - 20] FROM rgt WHERE k % 3 <> 0 AND k % 13 = 0
   UNION ALL SELECT k * 10 + 5, name, rank, [x, x + 14, x + 10, x], [y, y + 6, y + 12, y] FROM rgt WHERE k % 29 = 0 AND (k // {COLUMNS}) % 8 <> 3
   UNION ALL SELECT k * 10 + 6, name, rank, [x, x + 10, x2 - 10, x2], [y, y + 8, y2 + 8, y2] FROM rgt WHERE (k // {COLUMNS}) % 8 = 3
+  UNION ALL SELECT k * 10 + 7, name, rank, [x, x4], [y, y4] FROM blk
+  UNION ALL SELECT k * 10 + 8, name, rank, [x2, x3], [y2, y3] FROM blk WHERE k % 23 = 7
 ),
 pts AS (SELECT street_id, name, rank, unnest(range(1, len(xs) + 1)) AS seq, unnest(xs) AS x, unnest(ys) AS y FROM raw),
 segs AS (

@@ -19,12 +19,14 @@ from ..plans.network import streets
 from ..plans.storage import written
 from .topology import CONTACTS, DEDUPED, INDUCED, MISMATCH, NEAR, PIECES, W, deduped, network
 
-#: Of the single-round queries, and a wider one that also takes neighbouring blocks, so that pairs occur.
-THRESHOLD, PAIR_THRESHOLD = 7.5, 8.65
+#: Of the single-round queries, and a wider one that also takes the halves of blocks, which are pairs.
+THRESHOLD, PAIR_THRESHOLD = 7.5, 8.2
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(T.renumber(T.induce_nodes(T.dedupe(streets(spark, sf_dir)))), "pieces")
+    """Streets without repetitions, cut where nodes are missing and where they cross."""
+    whole = written(T.dedupe(streets(spark, sf_dir)), "deduped")
+    return written(T.renumber(T.induce_nodes(whole, more=P.crossings(whole))), "pieces")
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,17 +98,41 @@ def stroke_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("street_id", "coins_group", "coins_end", F.round("coins_len", 3).alias("coins_len"), "coins_count")
 
 
-def ces_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each artifact sees of the strokes on its boundary, and the rule for it."""
+def _ringed(spark: SparkSession, sf_dir: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pieces, their artifacts with rings, adjacency, and labelled half-edges."""
     pieces = _pieces(spark, sf_dir)
     labelled = P.face_edges(pieces)
-    f = A.with_index(P.faces(labelled), "isoperimetric_quotient").filter(F.col("face_artifact_index") < THRESHOLD)
-    own = labelled.select(F.col("face").alias("artifact_id"), "street_id").distinct().join(f.select(F.col("face_id").alias("artifact_id")), "artifact_id", "left_semi")
-    ends = T.line_ends(pieces).select("street_id", "x", "y")
-    nodes = own.join(ends, "street_id").groupBy("artifact_id").agg(F.countDistinct("x", "y").alias("node_count"))
-    coins = S.continuity(pieces).select("street_id", "coins_group", "coins_end", "coins_count")
-    info = S.stroke_info(own.join(coins, "street_id")).join(nodes, "artifact_id")
-    return S.ces_type(info).join(f.select(F.col("face_id").alias("artifact_id"), *KEY), "artifact_id").select(*(F.round(F.col(c), 3).alias(c) for c in KEY), "node_count", "strokes", "C", "E", "S", "ces_type", "non_planar", "rule")
+    f = written(A.with_index(P.faces(labelled), "isoperimetric_quotient").join(P.face_rings(labelled), "face_id"), "faces")
+    return pieces, f.filter(F.col("face_artifact_index") < threshold), written(P.rook_adjacency(labelled, f), "adjacent"), labelled
+
+
+def _rings(art: DataFrame) -> DataFrame:
+    return art.select(F.col("face_id").alias("artifact_id"), F.array("ring").cast(M.RINGS).alias("rings"))
+
+
+def ces_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each artifact sees of the strokes on its boundary, and the rule for it."""
+    pieces, art, *_ = _ringed(spark, sf_dir, THRESHOLD)
+    out = M.single_changes(M.with_strokes(pieces), _rings(art), M.R.Options()).filter("op = 'rule'")
+    out = out.select(F.col("artifact_id").alias("face_id"), F.split("note", " ")[0].alias("ces_type"), F.split("note", " ")[1].alias("rule"))
+    return out.join(art, "face_id").select(*(F.round(F.col(c), 3).alias(c) for c in KEY), "ces_type", "rule")
+
+
+def skeleton_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules of single artifacts drop and add, by rule: streets, lines, and length of the lines that come."""
+    pieces, art, *_ = _ringed(spark, sf_dir, THRESHOLD)
+    out = M.single_changes(M.with_strokes(pieces), _rings(art), M.R.Options())
+    rules = out.filter("op = 'rule'").select("artifact_id", F.split("note", " ")[1].alias("rule"))
+    size = F.when(F.col("op") == "add", L.length(F.col("geom")))
+    return out.filter("op <> 'rule'").join(rules, "artifact_id").groupBy("rule", "op").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.round(F.sum(size), 2), F.lit(0.0)).alias("length"))
+
+
+def contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets that lie within a face without bounding it."""
+    pieces, art, *_ = _ringed(spark, sf_dir, math.inf)
+    inner = M.contained_streets(pieces, _rings(art))
+    g = F.col("geom")
+    return pieces.join(inner, "street_id", "left_semi").select(F.round(L.first_point(g)["x"], 3).alias("x1"), F.round(L.first_point(g)["y"], 3).alias("y1"), F.round(L.last_point(g)["x"], 3).alias("x2"), F.round(L.last_point(g)["y"], 3).alias("y2"))
 
 
 def dangling_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,11 +152,12 @@ def extended_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places from events: users on a line, values across it."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select((F.col("user_id") * 3.0).alias("x"), F.floor(F.col("value")).cast("double").alias("y")).distinct()
+    return e.select((F.col("user_id") * 8.0).alias("x"), (F.floor("value") * 4).cast("double").alias("y")).distinct()
 
 
 def density_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = K.density_components(_points(spark, sf_dir).filter("y % 5 = 0"), 5.0)
+    """Runs of neighbouring values of each user: within 5 lie those of one user whose values differ by one."""
+    out = K.density_components(_points(spark, sf_dir), 5.0)
     return out.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y")).drop("component")
 
 
@@ -145,9 +172,10 @@ def close_gap_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The network with the second end of every fourth street two units off."""
-    s = streets(spark, sf_dir).filter("size(geom) = 2")
-    off = L.line(L.first_point(F.col("geom")), L.point(F.col("geom")[1]["x"] + 2, F.col("geom")[1]["y"]))
+    """The network with the last point of every fourth upward street two units off."""
+    s = streets(spark, sf_dir)
+    end = L.last_point(F.col("geom"))
+    off = F.concat(F.slice("geom", F.lit(1), F.size("geom") - 1), F.array(L.point(end["x"] + 2, end["y"])))
     return s.withColumn("geom", F.when(F.col("street_id") % 40 == 2, off).otherwise(F.col("geom")))
 
 
@@ -163,23 +191,29 @@ def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of artifacts and what is to be done with the street between them."""
-    pieces = _pieces(spark, sf_dir)
-    labelled = P.face_edges(pieces)
-    f = written(A.with_index(P.faces(labelled), "isoperimetric_quotient"), "faces")
-    adjacent = written(P.rook_adjacency(labelled, f), "adjacent")
-    art = f.filter(F.col("face_artifact_index") < PAIR_THRESHOLD)
-    out = M.pair_table(pieces, written(M.boundary(labelled, art), "outline"), written(P.face_components(adjacent, art), "parts"))
-    return out.groupBy("solution", "n_shared", "seen_a", "seen_b").agg(F.count(F.lit(1)).alias("n"))
+    pieces, art, adjacent, _ = _ringed(spark, sf_dir, PAIR_THRESHOLD)
+    comps = P.face_components(adjacent, art).filter("comp_size = 2")
+    pairs = art.join(comps, "face_id").groupBy(F.col("comp").alias("artifact_id")).agg(F.array_sort(F.collect_list(F.struct("face_id", "ring"))).alias("r")).select("artifact_id", F.transform("r", lambda x: x["ring"]).alias("rings"))
+    out = M.pair_table(M.with_strokes(pieces), written(pairs, "pairs"))
+    return out.groupBy("solution", "planar_a", "planar_b").agg(F.count(F.lit(1)).alias("n"), F.sum("nodes_a").alias("nodes_a"), F.sum("nodes_b").alias("nodes_b"))
 
 
 def simplified_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The network after repair, consolidation and one round of simplification."""
-    out = M.simplify(network(spark, sf_dir), threshold=THRESHOLD, n_loops=1)
+    out = M.simplify(network(spark, sf_dir), artifact_threshold=THRESHOLD, n_loops=1)
     return out.groupBy(F.coalesce("_status", F.lit("none")).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(L.length(F.col("geom"))), 1).alias("length"))
 
 
 #: Undirected edges of the cut network, pruned of dangles round by round, and half-edges with their successors and faces.
-EDGES = f"""{DEDUPED}{MISMATCH}{CONTACTS}{INDUCED}{PIECES},
+CROSS = "((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1))"
+NODED = f""",
+crossp AS (
+  SELECT DISTINCT x1 + t * dx AS x, y1 + t * dy AS y FROM (
+    SELECT a.x1, a.y1, a.x2 - a.x1 AS dx, a.y2 - a.y1 AS dy, ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / nullif({CROSS}, 0) AS t, ((b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1)) / nullif({CROSS}, 0) AS u
+    FROM kseg a JOIN kseg b ON a.street_id < b.street_id AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2) AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2)
+  ) WHERE t > 0 AND t < 1 AND u > 0 AND u < 1
+), noded AS (SELECT x, y FROM induced UNION SELECT x, y FROM crossp)"""
+EDGES = f"""{DEDUPED}{MISMATCH}{CONTACTS}{INDUCED}{NODED}{PIECES.replace('FROM induced p', 'FROM noded p')},
 plain AS (
   SELECT fx AS x1, fy AS y1, lx AS x2, ly AS y2 FROM pieces WHERE status = 'changed'
   UNION ALL SELECT s.x1, s.y1, s.x2, s.y2 FROM kseg s ANTI JOIN cutp USING (street_id)
@@ -246,12 +280,25 @@ free AS (SELECT p.street_id, p."end", p.x, p.y FROM atip p JOIN segs s ON """ +
 
 FREE = FREE.format(near=NEAR.replace("1e-4", "1e-9"))
 
+#: Free ends of the network, their prolongation by 120 with the millionth that tilts it, and the first street that each meets.
+RAYS = f"""{W}{FREE},
+back AS (
+  SELECT f.*, CASE f."end" WHEN 0 THEN ax ELSE bx END AS qx, CASE f."end" WHEN 0 THEN ay ELSE b_y END AS qy
+  FROM free f JOIN (SELECT street_id, arg_min(x2, seq) AS ax, arg_min(y2, seq) AS ay, arg_max(x1, seq) AS bx, arg_max(y1, seq) AS b_y FROM segs GROUP BY street_id) USING (street_id)
+), ray AS (
+  SELECT street_id, "end", x, y, x + CASE WHEN x - qx > 0 THEN 1 ELSE -1 END * 120 * cos(atan(abs(-(y - qy) + 0.000001) / abs(-(x - qx) + 0.000001))) AS rx, y + CASE WHEN y - qy > 0 THEN 1 ELSE -1 END * 120 * sin(atan(abs(-(y - qy) + 0.000001) / abs(-(x - qx) + 0.000001))) AS ry FROM back
+), met1 AS (
+  SELECT r.*, s.street_id AS hit_id, ((s.x1 - r.x) * (s.y2 - s.y1) - (s.y1 - r.y) * (s.x2 - s.x1)) / nullif((r.rx - r.x) * (s.y2 - s.y1) - (r.ry - r.y) * (s.x2 - s.x1), 0) AS t,
+    ((s.x1 - r.x) * (r.ry - r.y) - (s.y1 - r.y) * (r.rx - r.x)) / nullif((r.rx - r.x) * (s.y2 - s.y1) - (r.ry - r.y) * (s.x2 - s.x1), 0) AS u
+  FROM ray r JOIN segs s ON s.street_id <> r.street_id AND least(s.x1, s.x2) <= greatest(r.x, r.rx) AND least(r.x, r.rx) <= greatest(s.x1, s.x2) AND least(s.y1, s.y2) <= greatest(r.y, r.ry) AND least(r.y, r.ry) <= greatest(s.y1, s.y2)
+), hit1 AS (SELECT street_id, "end", x, y, x + t * (rx - x) AS hx, y + t * (ry - y) AS hy FROM met1 WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 QUALIFY row_number() OVER (PARTITION BY street_id, "end" ORDER BY t, hit_id) = 1)"""
+
 QUERIES = {
     f.__name__: f
-    for f in (planar_faces, rook_adjacency, artifact_fixpoint, artifact_components, face_kde, face_threshold, artifact_mask, stroke_groups, ces_types, dangling_ends, extend_rays, extended_total, density_components, node_clusters, close_gap_centroids, gaps_closed, consolidated, pair_solutions, simplified_total)
+    for f in (planar_faces, rook_adjacency, artifact_fixpoint, artifact_components, face_kde, face_threshold, artifact_mask, stroke_groups, ces_types, skeleton_lengths, contained, dangling_ends, extend_rays, extended_total, density_components, node_clusters, close_gap_centroids, gaps_closed, consolidated, pair_solutions, simplified_total)
 }
 SHIFTED = """,
-moved AS (SELECT street_id, fx, fy, CASE WHEN street_id % 40 = 2 THEN lx + 2 ELSE lx END AS lx, ly FROM ends WHERE n = 2),
+moved AS (SELECT street_id, fx, fy, CASE WHEN street_id % 40 = 2 THEN lx + 2 ELSE lx END AS lx, ly FROM ends),
 gap AS MATERIALIZED (SELECT DISTINCT x, y FROM (SELECT fx AS x, fy AS y FROM moved UNION ALL SELECT lx, ly FROM moved)),
 close2 AS MATERIALIZED (SELECT a.x, a.y, b.x AS bx, b.y AS by FROM gap a JOIN gap b ON b.x BETWEEN a.x - 2.5 AND a.x + 2.5 AND b.y BETWEEN a.y - 2.5 AND a.y + 2.5 AND (a.x <> b.x OR a.y <> b.y) WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 2.5),
 clq AS (SELECT x, y, x AS rx, y AS ry FROM close2 UNION SELECT q.x, q.y, c.bx, c.by FROM clq q JOIN close2 c ON c.x = q.rx AND c.y = q.ry),
@@ -271,10 +318,20 @@ ORACLE = {
       SELECT l.street_id, coalesce(s.grp, l.street_id) AS coins_group, coalesce(n.n, 0) < 2 AS coins_end, round(sum(length) OVER (PARTITION BY coalesce(s.grp, l.street_id)), 3) AS coins_len, count(*) OVER (PARTITION BY coalesce(s.grp, l.street_id)) AS coins_count
       FROM slen l LEFT JOIN strk s ON s.id = l.street_id LEFT JOIN nlink n ON n.id = l.street_id""",
     "dangling_ends": f'{W}{FREE} SELECT * FROM free',
-    "density_components": """WITH RECURSIVE p AS MATERIALIZED (SELECT DISTINCT user_id * 3.0::DOUBLE AS x, floor(value)::DOUBLE AS y FROM events WHERE floor(value)::BIGINT % 5 = 0),
-      near2 AS MATERIALIZED (SELECT a.x, a.y, b.x AS bx, b.y AS by FROM p a JOIN p b ON b.x BETWEEN a.x - 5 AND a.x + 5 AND b.y BETWEEN a.y - 5 AND a.y + 5 AND (a.x <> b.x OR a.y <> b.y) WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 25),
-      r AS (SELECT x, y, x AS rx, y AS ry FROM near2 UNION SELECT r.x, r.y, n.bx, n.by FROM r JOIN near2 n ON n.x = r.rx AND n.y = r.ry), c AS (SELECT x, y, min((rx, ry)) AS g FROM r GROUP BY x, y)
-      SELECT count(*) AS n, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM c GROUP BY g""",
+    "density_components": """WITH p AS (SELECT DISTINCT user_id * 8.0::DOUBLE AS x, (floor(value) * 4)::DOUBLE AS y FROM events), s AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY x ORDER BY y) <= 5 THEN 0 ELSE 1 END AS new FROM p),
+      r AS (SELECT x, y, sum(new) OVER (PARTITION BY x ORDER BY y) AS g FROM s)
+      SELECT count(*) AS n, x AS min_x, min(y) AS min_y, x AS max_x, max(y) AS max_y FROM r GROUP BY x, g HAVING count(*) > 1""",
+    "extend_rays": f"""{RAYS} SELECT street_id, "end", round(hx, 3) AS hx, round(hy, 3) AS hy FROM hit1""",
+    "extended_total": f"""{RAYS} SELECT (SELECT count(*) FROM ends) AS n, round((SELECT sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) FROM segs) + (SELECT coalesce(sum(sqrt((hx - x) * (hx - x) + (hy - y) * (hy - y))), 0) FROM hit1) + (SELECT count(*) FROM free), 3) AS total_length""",
+    "contained": f"""{FACES}, dead AS (
+        SELECT p.fx, p.fy, p.lx, p.ly, (p.fx + p.lx) / 2 AS mx, (p.fy + p.ly) / 2 AS my FROM pieces p WHERE p.n_points = 2 AND CASE WHEN (fx, fy) < (lx, ly) THEN (fx, fy, lx, ly) ELSE (lx, ly, fx, fy) END NOT IN (SELECT e FROM e{ROUNDS})
+      ) SELECT round(fx, 3) AS x1, round(fy, 3) AS y1, round(lx, 3) AS x2, round(ly, 3) AS y2 FROM dead d
+      WHERE EXISTS (SELECT 1 FROM half h JOIN own o USING (h) SEMI JOIN face f ON f.face = o.face WHERE (h.sy > d.my) <> (h.ty > d.my) AND d.mx < (h.tx - h.sx) * (d.my - h.sy) / (h.ty - h.sy) + h.sx GROUP BY o.face HAVING count(*) % 2 = 1)""",
+    "artifact_mask": f"""{FACES}{GROWN}, span AS (
+        SELECT o.face, CASE WHEN tx = sx THEN CASE WHEN sx BETWEEN -50 AND 1000 THEN 0.0 ELSE 2.0 END ELSE greatest(0, least((-50 - sx) / (tx - sx), (1000 - sx) / (tx - sx))) END AS a, CASE WHEN tx = sx THEN 1.0 ELSE least(1, greatest((-50 - sx) / (tx - sx), (1000 - sx) / (tx - sx))) END AS b,
+          CASE WHEN ty = sy THEN CASE WHEN sy BETWEEN -50 AND 1000 THEN 0.0 ELSE 2.0 END ELSE greatest(0, least((-50 - sy) / (ty - sy), (1000 - sy) / (ty - sy))) END AS c, CASE WHEN ty = sy THEN 1.0 ELSE least(1, greatest((-50 - sy) / (ty - sy), (1000 - sy) / (ty - sy))) END AS d
+        FROM half JOIN own o USING (h)
+      ) SELECT {KEYS} FROM shape JOIN g12 USING (face) WHERE art AND face NOT IN (SELECT face FROM span WHERE greatest(a, c) <= least(b, d))""",
     "close_gap_centroids": f"{W}{SHIFTED} SELECT count(*) AS n, round(avg(x), 3) AS x, round(avg(y), 3) AS y FROM grp GROUP BY g",
     "gaps_closed": f"""{W}{SHIFTED}, mid AS (SELECT g, avg(x) AS mx, avg(y) AS my FROM grp GROUP BY g), tips2 AS (SELECT fx AS x, fy AS y FROM moved UNION ALL SELECT lx, ly FROM moved),
       put AS (SELECT coalesce(mx, t.x) AS x, coalesce(my, t.y) AS y FROM tips2 t LEFT JOIN grp USING (x, y) LEFT JOIN mid USING (g))
