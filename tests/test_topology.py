@@ -94,3 +94,17 @@ def test_empty(spark, lines):
     assert T.node_degrees(none).count() == 0
     assert T.dedupe(none).count() == 0
     assert T.fix_topology(none).count() == 0
+
+
+def test_large_ids_and_many_cuts(spark):
+    """Numbers of pieces can't collide or overflow: a street of 5,000 cuts, one of 70,000 vertices, ids from 2^60 on."""
+    from wayfold.functions.lines import LINE
+    from wayfold.operators.planar import edge_table
+
+    long_ = [(float(k), 5.0) for k in range(70_000)]
+    streets = spark.createDataFrame([(2**60, [(0.0, 0.0), (5001.0, 0.0)]), (2**60 + 1, long_)], f"street_id long, geom {LINE}")
+    cuts = spark.range(1, 5001).selectExpr("cast(id as double) x", "0D y")
+    pieces = T.renumber(T.split(streets, cuts))
+    assert pieces.count() == pieces.select("street_id").distinct().count() == 5002
+    edges = edge_table(pieces)
+    assert edges.count() == edges.select("edge_id").distinct().count() == 5001 + 69_999

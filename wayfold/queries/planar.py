@@ -286,7 +286,7 @@ back AS (
   SELECT f.*, CASE f."end" WHEN 0 THEN ax ELSE bx END AS qx, CASE f."end" WHEN 0 THEN ay ELSE b_y END AS qy
   FROM free f JOIN (SELECT street_id, arg_min(x2, seq) AS ax, arg_min(y2, seq) AS ay, arg_max(x1, seq) AS bx, arg_max(y1, seq) AS b_y FROM segs GROUP BY street_id) USING (street_id)
 ), ray AS (
-  SELECT street_id, "end", x, y, x + CASE WHEN x - qx > 0 THEN 1 ELSE -1 END * 120 * cos(atan(abs(-(y - qy) + 0.000001) / abs(-(x - qx) + 0.000001))) AS rx, y + CASE WHEN y - qy > 0 THEN 1 ELSE -1 END * 120 * sin(atan(abs(-(y - qy) + 0.000001) / abs(-(x - qx) + 0.000001))) AS ry FROM back
+  SELECT street_id, "end", x, y, x + CASE WHEN x - qx > 0 OR (x = qx AND y > qy) THEN 1 ELSE -1 END * 120 * cos(atan(abs(-(y - qy) + 0.000001) / abs(-(x - qx) + 0.000001))) AS rx, y + CASE WHEN y - qy > 0 THEN 1 ELSE -1 END * 120 * sin(atan(abs(-(y - qy) + 0.000001) / abs(-(x - qx) + 0.000001))) AS ry FROM back
 ), met1 AS (
   SELECT r.*, s.street_id AS hit_id, ((s.x1 - r.x) * (s.y2 - s.y1) - (s.y1 - r.y) * (s.x2 - s.x1)) / nullif((r.rx - r.x) * (s.y2 - s.y1) - (r.ry - r.y) * (s.x2 - s.x1), 0) AS t,
     ((s.x1 - r.x) * (r.ry - r.y) - (s.y1 - r.y) * (r.rx - r.x)) / nullif((r.rx - r.x) * (s.y2 - s.y1) - (r.ry - r.y) * (s.x2 - s.x1), 0) AS u
