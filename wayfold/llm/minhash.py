@@ -330,4 +330,17 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_minhash": op3_minhash}
-ORACLE: dict[str, str] = {}
+#: All pairs of unlike sets with a common shingle, and all that can be reached from each set.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT r, array_to_string(list_slice(w, k, k + 2), ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 2))) AS k FROM d WHERE len(w) > 0) x),
+doc AS (SELECT r, count(*) AS n, sha256(string_agg(s, chr(10) ORDER BY s)) AS c FROM sh GROUP BY r),
+cls AS (SELECT c, min(r) AS r, min(n) AS n FROM doc GROUP BY c),
+own AS (SELECT cls.r, cls.n, sh.s FROM cls JOIN sh ON sh.r = cls.r),
+link AS (SELECT a.r AS x, b.r AS y FROM own a JOIN own b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, a.n, b.r, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT r AS x, r AS y FROM cls UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y),
+least AS (SELECT cls.c, min(d.doc_id) AS low FROM cls JOIN reach ON reach.x = cls.r JOIN cls o ON o.r = reach.y JOIN doc ON doc.c = o.c JOIN d ON d.r = doc.r GROUP BY cls.c)
+SELECT d.doc_id, CAST(coalesce(doc.n, 0) AS BIGINT) AS n_shingles, coalesce(least.low, d.doc_id) AS component_id, coalesce(least.low, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN doc ON doc.r = d.r LEFT JOIN least ON least.c = doc.c"""
+ORACLE = {"op3_minhash": SQL}

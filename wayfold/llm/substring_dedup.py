@@ -326,4 +326,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup}
-ORACLE: dict[str, str] = {}
+#: A word goes if one of the 35 windows that hold it starts at a place whose words also start elsewhere.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, k, array_to_string(list_slice(w, k, k + 34), ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM d) x),
+hit AS (SELECT win.r, win.k FROM win JOIN (SELECT s FROM win GROUP BY s HAVING count(*) > 1) m ON win.s = m.s),
+word AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+gone AS (SELECT word.r, word.i, word.word, max(CASE WHEN hit.k IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY word.r ORDER BY word.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS g
+  FROM word LEFT JOIN hit ON hit.r = word.r AND hit.k = word.i),
+told AS (SELECT r, sum(g) AS n, string_agg(CASE WHEN g = 0 THEN word END, ' ' ORDER BY i) AS kept FROM gone GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(told.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(told.kept, '')) AS kept_sha256
+FROM d LEFT JOIN told ON told.r = d.r"""
+ORACLE = {"op1_substring_dedup": SQL}
