@@ -6,9 +6,9 @@ fewer than two points are dropped by fix_topology and give nothing elsewhere.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,14 +109,14 @@ def status_of(statuses: Column, n: Column) -> Column:
 
 def bowtie_nodes(streets: DataFrame) -> DataFrame:
     """Nodes of components that are exactly two nodes, two loops and a doubled edge: x, y. They are not merged away."""
-    ends = streets.select("street_id", L.first_point(F.col("geom")).alias("a"), L.last_point(F.col("geom")).alias("b"))
-    edges = ends.select("street_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    key = lambda p: F.xxhash64(F.col(f"{p}.x"), F.col(f"{p}.y"))
-    parts = connected_components(edges.select(key("a").alias("src"), key("b").alias("dst")))
-    labelled = edges.withColumn("node", key("a")).join(parts, "node")
-    nodes = labelled.select("component", F.explode(F.array("a", "b")).alias("p")).distinct().groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"), F.collect_set("p").alias("ps"))
-    kinds = labelled.groupBy("component").agg(F.sum((F.col("a") == F.col("b")).cast("long")).alias("n_loops"), F.countDistinct("a", "b").alias("n_pairs"))
-    return nodes.filter("n_nodes = 2").join(kinds.filter("n_loops = 2 and n_pairs = 3"), "component").select(F.explode("ps").alias("p")).select("p.x", "p.y")
+    a, b = L.first_point(F.col("geom")), L.last_point(F.col("geom"))
+    point = "struct<x:double,y:double>"
+    side = lambda p, other: F.struct(p.alias("p"), other.alias("other"))
+    # A ring is one row without another end. Two nodes that have only each other as neighbours are a component.
+    sides = F.when(a == b, F.array(side(a, F.lit(None).cast(point)))).otherwise(F.array(side(a.cast(point), b.cast(point)), side(b.cast(point), a.cast(point))))
+    nodes = streets.select(F.explode(sides).alias("s")).groupBy(F.col("s.p").alias("p")).agg(F.min("s.other").alias("only"), F.max("s.other").alias("last"), F.sum(F.col("s.other").isNull().cast("long")).alias("n_loops"))
+    lone = nodes.filter((F.col("only") == F.col("last")) & (F.col("n_loops") == 1)).select("p", "only")
+    return lone.join(lone.select(F.col("only").alias("p"), F.col("p").alias("only")), ["p", "only"], "left_semi").select("p.x", "p.y")
 
 
 def chain_links(streets: DataFrame, ignore: DataFrame | None = None) -> DataFrame:
@@ -135,9 +135,8 @@ def chain_labels(streets: DataFrame, ignore: DataFrame | None = None) -> DataFra
     return streets.select("street_id").join(parts.withColumnRenamed("node", "street_id"), "street_id", "left").select("street_id", F.coalesce("component", "street_id").alias("label"))
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One chain of lines as one line; direction and start are those of the first street where that is possible."""
-    lines = [[(p["x"], p["y"]) for p in g] for g in pdf.sort_values("street_id")["geom"]]
+def _merge(lines: list[list[tuple]]) -> list[tuple]:
+    """One chain of lines, in the order of their ids, as one line; direction and start are those of the first where that is possible."""
     at: dict = {}
     for k, g in enumerate(lines):
         at.setdefault(g[0], []).append(k)
@@ -153,7 +152,15 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
             g = lines[nxt]
             out += (g if g[0] == out[-1] else g[::-1])[1:]
         out.reverse()
-    return pd.DataFrame({"label": [pdf["label"].iloc[0]], "geom": [[{"x": x, "y": y} for x, y in out]]})
+    return out
+
+
+def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of label and lines (street_id, geom, in order), many chains at a time, as label and geom."""
+    for batch in batches:
+        merged = [_merge([[(p["x"], p["y"]) for p in line["geom"]] for line in lines.as_py()]) for lines in batch.column("lines")]
+        geom = pa.array([[{"x": x, "y": y} for x, y in g] for g in merged], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+        yield pa.RecordBatch.from_arrays([batch.column("label"), geom], names=["label", "geom"])
 
 
 def _by_rule(name: str, rule: str | Callable[[Column, Column], Column], seq: Column) -> Column:
@@ -170,7 +177,7 @@ def _by_rule(name: str, rule: str | Callable[[Column, Column], Column], seq: Col
 def remove_interstitial_nodes(streets: DataFrame, aggfunc: str | dict = "first", ignore: DataFrame | None = None) -> DataFrame:
     """Chains through nodes of degree two merged into one street each: street_id (the least), _status, geom, attributes.
 
-    Chains of one street pass through natively; only real chains are merged in Python, one small group at a time. Rings
+    Chains of one street pass through natively; only real chains are merged in Python, a batch of them at a time. Rings
     start at the vertex that most other streets touch.
     """
     streets = streets if "_status" in streets.columns else streets.withColumn("_status", F.lit("original"))
@@ -180,7 +187,8 @@ def remove_interstitial_nodes(streets: DataFrame, aggfunc: str | dict = "first",
     n = F.count(F.lit(1))
     attrs = labelled.groupBy("label").agg(n.alias("n_merged"), status_of(F.col("_status"), n).alias("_status"), *(_by_rule(c, rule(c), F.col("street_id")) for c in others), F.first("geom").alias("one"))
     many = attrs.filter("n_merged > 1").select("label")
-    merged = labelled.join(many, "label", "left_semi").select("label", "street_id", "geom").groupBy("label").applyInPandas(_merge, f"label long, geom {L.LINE}")
+    lines = F.array_sort(F.collect_list(F.struct("street_id", "geom"))).alias("lines")
+    merged = labelled.join(many, "label", "left_semi").groupBy("label").agg(lines).mapInArrow(_merge_batches, f"label long, geom {L.LINE}")
     out = attrs.join(merged, "label", "left").select(F.col("label").alias("street_id"), *others, "_status", F.coalesce("geom", "one").alias("geom"))
     return rotate_loops(out)
 
