@@ -89,6 +89,21 @@ def test_bowtie(lines):
     assert {(r["x"], r["y"]) for r in out} == {(7.0, 2.0), (11.0, 2.0)}
 
 
+def test_near_bowties(lines):
+    """Both loops at one node, a third node, two loops at a node, one loop only, no loop: none is a bowtie."""
+
+    def at(x, y):
+        ring = lambda d, n: [(x + d, y), (x + d - 0.5, y + n), (x + d - 0.5, y - n), (x + d, y)]
+        return ring(0, 0.5), ring(4, 0.5), ring(0, 0.7), [(x, y), (x + 2, y + 1), (x + 4, y)], [(x, y), (x + 2, y - 1), (x + 4, y)], [(x + 4, y), (x + 8, y)]
+
+    near = []
+    for k, chosen in enumerate([(0, 2, 3, 4), (0, 1, 3, 4, 5), (0, 1, 2, 3), (0, 3, 4), (3, 4)]):
+        near += [at(0, 20 * k)[c] for c in chosen]
+    assert T.bowtie_nodes(lines(near)).count() == 0
+    both = T.bowtie_nodes(lines([*near, *(at(0, 200)[c] for c in (0, 1, 3))])).collect()
+    assert {(r["x"], r["y"]) for r in both} == {(0.0, 200.0), (4.0, 200.0)}
+
+
 def test_empty(spark, lines):
     none = lines([D(1, 2)]).limit(0)
     assert T.node_degrees(none).count() == 0
