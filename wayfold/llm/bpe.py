@@ -34,9 +34,11 @@ LONG, LEAF = 8192, 4096
 #: First window, in characters to each side of a join, and tokens that must agree in a row on each side.
 WINDOW, AGREE = 64, 4
 #: Pieces that a worker remembers, at most, and bytes of the longest of them.
-REMEMBER, SHORT = 1_000_000, 64
+REMEMBER, SHORT = 300_000, 64
 #: Pieces that are encoded as one input.
 TOGETHER = 1000
+#: Values that are laid out at a time, and bytes of text that are encoded and decoded at a time: they bound a worker's memory, not what is encoded.
+SPAN, PART = 1 << 18, 4 << 20
 
 _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n])|(?<=[A-Za-z])(?=[.,])")
 #: What the word tokenizer splits lower-case text into, and characters for which that isn't told by this expression alone,
@@ -101,8 +103,8 @@ class Encoder:
         self.ids = np.concatenate((self.ids, spread(more, (ends - size)[short], size[short])))
         self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(size[short])))
         self.known = pa.concat_arrays([self.known, fresh.filter(pa.array(short))])
-        self.used = np.concatenate((self.used, np.ones(int(short.sum()), bool)))
-        if len(self.known) > REMEMBER:  # what hasn't been seen since the last time goes
+        self.used = np.concatenate((self.used, np.zeros(int(short.sum()), bool)))
+        if len(self.known) > REMEMBER:  # what hasn't come again since the last time goes
             keep, sizes = self.used, np.diff(self.at)
             if keep.sum() > REMEMBER // 2:
                 self.forget()
@@ -288,9 +290,19 @@ def spread(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     total = int(ends[-1]) if len(ends) else 0
     if not total:
         return values[:0]
-    step = np.repeat((starts - (ends - lengths)).astype(np.int64), lengths)
-    step += np.arange(total)
-    return values[step]
+    out, a = np.empty(total, values.dtype), 0
+    while a < len(ends):  # places take eight bytes a value, so only those of about SPAN values are there at a time
+        base = int(ends[a - 1]) if a else 0
+        z = max(a + 1, int(np.searchsorted(ends, base + SPAN, side="right")))
+        to = int(ends[z - 1])
+        if z == a + 1:
+            out[base:to] = values[int(starts[a]) : int(starts[a]) + to - base]
+        else:
+            step = np.repeat((starts[a:z] - (ends[a:z] - lengths[a:z])).astype(np.int64, copy=False), lengths[a:z])
+            step += np.arange(base, to)
+            out[base:to] = values[step]
+        a = z
+    return out
 
 
 class Decoder:
@@ -308,8 +320,9 @@ class Decoder:
         for token, i in vocab.items():
             table[i] = bytes(byte[c] for c in token)
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
-        self.sizes = np.fromiter(map(len, table), np.int64, len(table))
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        # Numbers of four bytes, for there is one for each id of a part.
+        self.sizes = np.fromiter(map(len, table), np.int32, len(table))
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
 
     @classmethod
     def of(cls, path: str) -> Decoder:
@@ -336,15 +349,16 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder.of(vocabulary), Decoder.of(vocabulary)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, PART):
                 ids, at = encoder.encode(part.column(1))
                 data, to = decoder.decode(ids, at)
-                raw, text = memoryview(ids.astype("<u4").tobytes()), memoryview(data.tobytes())
+                raw, text = memoryview(ids.astype("<u4", copy=False).view(np.uint8)), memoryview(data)
                 said = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
                 back = [_digest(text[a:b]) for a, b in zip(to[:-1], to[1:], strict=True)]
                 out = [part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(said), pa.array(back)]
                 if keep_ids:
                     out.append(pa.array([bytes(raw[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()))
+                del ids, data, raw, text  # else they stay while the next part is encoded
                 yield pa.RecordBatch.from_arrays(out, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
