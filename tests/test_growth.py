@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import lines as L
+from wayfold.operators import simplify as S
+from wayfold.operators.cluster import node_clusters
+from wayfold.operators.topology import node_degrees
 
 
 def test_a_line_is_computed_once_however_its_points_are_read(lines):
@@ -20,3 +26,30 @@ def test_a_line_is_computed_once_however_its_points_are_read(lines):
 def test_lines_without_segments(lines):
     few = lines([[(1, 1)], [(0, 0), (0, 0)]])
     assert [(r["n"], r["l"]) for r in few.orderBy("street_id").select(F.size(L.segments(F.col("geom"))).alias("n"), L.length(F.col("geom")).alias("l")).collect()] == [(0, 0.0), (1, 0.0)]
+
+
+def test_kernels_are_dealt_to_tasks_by_number(lines):
+    """200 clusters of two ends are a few KB; by size they were one task."""
+    pairs = lines([[(100 * k, 0), (100 * k, 50)] for k in range(200)] + [[(100 * k + 1, 0), (100 * k + 1, -50)] for k in range(200)])
+    out = node_clusters(node_degrees(pairs), 2.0)
+    assert out.count() == 200 and out.rdd.getNumPartitions() > 1
+
+
+def test_artifacts_are_dealt_to_tasks_by_number(spark, lines):
+    squares = [[(100 * k, 0), (100 * k + 10, 0), (100 * k + 10, 10), (100 * k, 10), (100 * k, 0)] for k in range(100)]
+    streets = lines(squares)
+    art = streets.select(F.col("street_id").alias("artifact_id"), F.array("geom").cast(S.RINGS).alias("rings"))
+    out = S.around(streets, art)
+    assert out.count() == 100 and out.rdd.getNumPartitions() > 1
+
+
+@pytest.mark.parametrize("changes", [S.single_changes, S.cluster_changes])
+def test_a_kernel_that_fails_gives_no_result(lines, changes):
+    row = [[(10 * k, y), (10 * k + 10, y)] for y in (0, 10) for k in range(3)] + [[(10 * k, 0), (10 * k, 10)] for k in range(4)]
+    streets = lines([*row, [(0, 0), (-50, -20)], [(0, 10), (-50, 30)], [(30, 0), (90, -20)], [(30, 10), (90, 40)]])
+    ring = [(0, 0), (30, 0), (30, 10), (0, 10), (0, 0)]
+    art = lines([ring]).select(F.col("street_id").alias("artifact_id"), F.array("geom").cast(S.RINGS).alias("rings"))
+    if changes is S.single_changes:
+        streets = S.with_strokes(lines([ring]))  # a loop at one node
+    with pytest.raises(Exception, match="NaN"):
+        changes(streets, art, S.R.Options(longest=math.nan)).count()
