@@ -53,3 +53,14 @@ def test_a_kernel_that_fails_gives_no_result(lines, changes):
         streets = S.with_strokes(lines([ring]))  # a loop at one node
     with pytest.raises(Exception, match="NaN"):
         changes(streets, art, S.R.Options(longest=math.nan)).count()
+
+
+def test_contained_looks_at_streets_that_may_be(lines):
+    """A dead end and a loop within a face, and one that leaves it; the face's own sides, cut or whole, are not contained."""
+    ring = [(0, 0), (100, 0), (100, 100), (0, 100), (0, 0)]
+    sides = [[(0, 0), (100, 0), (100, 100)], [(100, 100), (0, 100)], [(0, 100), (0, 0)]]
+    inner = [[(50, 0), (50, 40)], [(60, 60), (70, 60), (70, 70), (60, 60)], [(100, 100), (90, 80)]]
+    outer = [[(50, 0), (50, -40)], [(90, 50), (110, 50)], [(-10, -10), (-20, -20)], [(0, 100), (0, 200)]]
+    art = lines([ring]).select(F.col("street_id").alias("artifact_id"), F.array("geom").cast(S.RINGS).alias("rings"))
+    out = S.contained_streets(lines([*sides, *inner, *outer]), art)
+    assert sorted(r["street_id"] for r in out.collect()) == [3, 4, 5]
