@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import lines as L
+from wayfold.operators import planar
 from wayfold.operators import simplify as S
 from wayfold.operators.cluster import node_clusters
 from wayfold.operators.topology import node_degrees
@@ -64,3 +65,21 @@ def test_contained_looks_at_streets_that_may_be(lines):
     art = lines([ring]).select(F.col("street_id").alias("artifact_id"), F.array("geom").cast(S.RINGS).alias("rings"))
     out = S.contained_streets(lines([*sides, *inner, *outer]), art)
     assert sorted(r["street_id"] for r in out.collect()) == [3, 4, 5]
+
+
+def test_complete_orbits_are_put_aside(spark, monkeypatch):
+    """100 orbits of three and one of 500: what the later rounds write is the long one only."""
+    ways = [[3 * k, 3 * k + 1, 3 * k + 2] for k in range(100)] + [list(range(1000, 1500))]
+    rows = [(h, way[(i + 1) % len(way)]) for way in ways for i, h in enumerate(way)]
+    half = spark.createDataFrame(rows, "twin long, right_of long").withColumn("half", F.col("twin"))
+    sizes, plain = [], planar.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(planar, "written", counted)
+    out = planar.orbits(half).collect()
+    assert {r["half"]: r["face"] for r in out} == {h: way[0] for way in ways for h in way} and len(out) == 800
+    assert sizes.count(800) <= 6 and 500 in sizes
