@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import lines as L
-from wayfold.operators import planar
+from wayfold.operators import graph, planar
 from wayfold.operators import simplify as S
 from wayfold.operators.cluster import node_clusters
 from wayfold.operators.topology import node_degrees
@@ -83,3 +83,60 @@ def test_complete_orbits_are_put_aside(spark, monkeypatch):
     out = planar.orbits(half).collect()
     assert {r["half"]: r["face"] for r in out} == {h: way[0] for way in ways for h in way} and len(out) == 800
     assert sizes.count(800) <= 6 and 500 in sizes
+
+
+def written_names(monkeypatch, module):
+    names, plain = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or plain(df, name))
+    return names
+
+
+@pytest.mark.parametrize("some", [None, 30])
+def test_faces_within_a_task_take_no_rounds(spark, lines, monkeypatch, some):
+    """A grid of streets with a hole: its faces and their neighbours, in one task and in parts of 30 half-edges."""
+    n = 7
+    sides = [[(a, b), (a + 1, b)] for a in range(n) for b in range(n + 1)] + [[(a, b), (a, b + 1)] for a in range(n + 1) for b in range(n)]
+    streets = lines([s for s in sides if s != [(3, 3), (4, 3)]] + [[(0, 0), (-3, 0)], [(-3, 0), (-4, 1)]])
+    if some:
+        monkeypatch.setattr(planar, "TRACED", some)
+        monkeypatch.setattr(planar, "ORBIT_ROUNDS", 2)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        names = written_names(monkeypatch, planar)
+        labelled = planar.face_edges(streets)
+        assert ("orbits" in names) == bool(some)
+        f = planar.faces(labelled)
+        assert sorted(r["area"] for r in f.collect()) == [1.0] * (n * n - 2) + [2.0]
+        rows = {r["half"]: r for r in labelled.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 2 * (2 * n * (n + 1) - 1)
+    assert all(rows[r["twin"]]["face"] == r["twin_face"] and rows[r["next"]]["face"] == r["face"] for r in rows.values())
+    assert all(min(h for h, r in rows.items() if r["face"] == face) == face for face in {r["face"] for r in rows.values()})
+    pairs = {(r["focal"], r["neighbor"]) for r in planar.rook_adjacency(labelled, f).collect()}
+    assert len(pairs) == 2 * (2 * n * (n - 1) - 1) and pairs == {(b, a) for a, b in pairs}
+    assert sorted(len(r["ring"]) for r in planar.face_rings(labelled).collect()) == [5] * (n * n - 2) + [7]
+
+
+@pytest.mark.parametrize("some", [None, 20])
+def test_near_ids_are_joined_in_a_task(spark, monkeypatch, some):
+    """Long chains of near ids, one that leaps, a star and a loop, in one task and in parts of 20 edges."""
+    edges = [(k, k + 1) for k in range(300) if k % 100 != 99] + [(5, 250), (1000, 1000)] + [(2000, 2001 + k) for k in range(50)]
+    if some:
+        monkeypatch.setattr(graph, "JOINED", some)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        names = written_names(monkeypatch, graph)
+        out = graph.near_components(spark.createDataFrame(edges, "src long, dst long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert ("components" in names) == bool(some)
+    known = {**{k: 100 if 100 <= k < 200 else 0 for k in range(300)}, **{k: 2000 for k in range(2000, 2051)}}
+    assert len(out) == len(known) and {r["node"]: r["component"] for r in out} == known
+
+
+def test_prune_writes_what_a_round_changes(lines, monkeypatch):
+    """A square without dead ends is written once."""
+    names = written_names(monkeypatch, planar)
+    square = lines([[(0, 0), (1, 0)], [(1, 0), (1, 1)], [(1, 1), (0, 1)], [(0, 1), (0, 0)]])
+    assert planar.without_dead_ends(square).count() == 4 and names == ["street-ends", "lone"]
