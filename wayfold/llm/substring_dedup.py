@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, counted_join, hashes_of, lean, mix, release, row_key, slices, table, words_of, written
+from .common import ODD, counted_join, forget, hashes_of, lean, mix, release, row_key, slices, table, words_of, written
 from .fm_index import FMIndex
 
 #: Words of a window, words whose hash may be a minimizer, words of a shard, and segments from which a minimizer is hot.
@@ -102,19 +102,9 @@ def segments(starts: np.ndarray, hashed: np.ndarray, window: int = WINDOW) -> di
 SEGMENTS = "rk1 long, rk2 long, first int, windows short, mini long, h1 long"
 
 
-def minimizer_counts(docs: DataFrame) -> DataFrame:
-    """mini, n: segments of each minimizer that has two or more. Each task adds up its own first."""
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", PART):
-                starts, code, words = words_of(part.column(0))
-                if len(code):
-                    mini, n = np.unique(segments(starts, hashes_of(words)[code])["mini"], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(mini, pa.int64()), pa.array(n, pa.int64())], names=["mini", "n"])
-
-    return docs.select("text").mapInArrow(run, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n")).filter("n > 1")
+def minimizer_counts(found: DataFrame) -> DataFrame:
+    """mini, n: segments of each minimizer that has two or more."""
+    return found.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 def all_segments(docs: DataFrame) -> DataFrame:
@@ -225,10 +215,13 @@ def repeated(pieces: DataFrame, shards: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """rk1, rk2, first, spans of every segment with repeated windows (columns of docs: text, rk1, rk2)."""
-    often = written(minimizer_counts(docs), "dedup-minimizers")
+    # Text is cut into words and segments once; minimizers are counted in what was found.
+    each = written(all_segments(docs), "dedup-all-segments")
+    often = written(minimizer_counts(each), "dedup-minimizers")
     n_some = often.agg(F.sum("n")).first()[0] or 0
     place = F.struct("rk1", "rk2", "first")
-    some = written(counted_join(all_segments(docs), often, ["mini"], "n", n_some, place), "dedup-segments")
+    some = written(counted_join(each, often, ["mini"], "n", n_some, place), "dedup-segments")
+    forget(each)
     kinds = written(some.groupBy("mini", "h1").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rk1", "rk2", "first", "windows")).alias("at")), "dedup-kinds")
     minis = kinds.groupBy("mini").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("n"))
     heavy = written(minis.filter(F.col("kinds") > HOT), "dedup-hot-minimizers")
